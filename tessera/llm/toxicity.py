@@ -10,6 +10,7 @@ uncertain as it will meet.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +22,19 @@ from .common import labelled_ids, map_arrow, texts
 from .linear import Sparse, fit_sparse, sigmoid
 
 #: Hashed feature space.
-DIMS = 1 << 20
+DIMS = 1 << 22
 #: Labelled documents that the fit uses at most (about; they are chosen by hash).
 SAMPLE = 8_000
 FOLDS = 5
 #: A feature needs so many documents, and so many standard errors between the classes.
-LEAST_DOCS, LEAST_Z = 4, 3.0
+LEAST_DOCS, LEAST_Z = 4, 5.0
 #: Features kept for a category at most, the strongest first.
-WIDTH = 4_096
+WIDTH = 512
+#: Weights below this share of the largest are left out.
+FAINT = 0.03
 THRESHOLD = 0.5
+#: A level of a feature: so many words hold it once at least.
+RATES = (200, 60)
 _EDGE = b".,;:!?\"'()[]{}*&%$#|<>-_"
 _CACHE = 300_000
 #: Chain used by the query and the pipeline: 1 - quality first, then toxic.
@@ -37,24 +42,37 @@ CHAIN = ("low_quality", "toxic")
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
-    """Hashes of a lower-case word and of its beginnings of 4 and 5 bytes."""
+    """Hashes of a lower-case word and of its beginnings of 4, 5 and 6 bytes."""
     word = word.strip(_EDGE)
     if not word:
         return ()
     crc = zlib.crc32
-    out = [crc(b"w" + word) % DIMS]
-    if len(word) >= 4:
-        out.append(crc(b"4" + word[:4]) % DIMS)
-    if len(word) >= 5:
-        out.append(crc(b"5" + word[:5]) % DIMS)
-    return tuple(out)
+    out = [crc(b"w" + word)]
+    for k in (4, 5, 6):
+        if len(word) >= k:
+            out.append(crc(b"%d" % k + word[:k]))
+    return tuple(h % DIMS for h in out)
+
+
+#: What is added to a feature's hash for its levels: at all, twice or more, and one in RATES words or more.
+STEPS = (0, 7_919, *(k * 104_729 for k in range(1, len(RATES) + 1)))
+
+
+def levels(count: int, words: int) -> list[int]:
+    """Which of STEPS a feature reaches that a text of so many words holds so many times."""
+    return [0] if count < 2 else [0, 1, *(k for k, rate in enumerate(RATES, 2) if count * rate >= words)]
 
 
 def features(text: bytes) -> np.ndarray:
     """Distinct hashed features of a text."""
+    words = text.lower().split()
+    counts: Counter[int] = Counter()
+    for w, n in Counter(words).items():
+        for f in word_features(w):
+            counts[f] += n
     found: set[int] = set()
-    for w in set(text.lower().split()):
-        found.update(word_features(w))
+    for f, n in counts.items():
+        found.update((f + STEPS[k]) % DIMS for k in levels(n, len(words)))
     return np.fromiter(found, np.int64, len(found))
 
 
@@ -63,10 +81,12 @@ class Chain:
 
     def __init__(self, names: tuple[str, ...], links: list[tuple[np.ndarray, np.ndarray]]):
         self.names, self.links = names, links
-        self.table: dict[int, list[tuple[int, float]]] = {}
+        # For a feature's hash: (level, category, weight) of whatever its levels may add.
+        self.table: dict[int, list[tuple[int, int, float]]] = {}
         for k, (kept, w) in enumerate(links):
             for f, x in zip(kept.tolist(), w[: len(kept)].tolist()):
-                self.table.setdefault(f, []).append((k, x))
+                for level, step in enumerate(STEPS):
+                    self.table.setdefault((f - step) % DIMS, []).append((level, k, x))
         self.cache: dict[bytes, tuple[int, ...]] = {}
 
     def __getstate__(self):
@@ -77,20 +97,23 @@ class Chain:
 
     def score(self, text: bytes) -> list[float]:
         """Probability of each category; of an empty text, what the intercepts give."""
-        found: set[int] = set()
         cache, table = self.cache, self.table
-        for w in set(text.lower().split()):
+        words = text.lower().split()
+        counts: dict[int, int] = {}
+        for w, n in Counter(words).items():
             hit = cache.get(w)
             if hit is None:
                 if len(cache) >= _CACHE:
                     cache.clear()
                 hit = cache[w] = tuple(f for f in word_features(w) if f in table)
-            if hit:
-                found.update(hit)
+            for f in hit:
+                counts[f] = counts.get(f, 0) + n
         sums = [0.0] * len(self.links)
-        for f in sorted(found):
-            for k, x in table[f]:
-                sums[k] += x
+        for f in sorted(counts):
+            reached = levels(counts[f], len(words))
+            for level, k, x in table[f]:
+                if level in reached:
+                    sums[k] += x
         out: list[float] = []
         for k, (kept, w) in enumerate(self.links):
             rest = w[len(kept) :]
@@ -132,7 +155,9 @@ def fit_chain(rows: list[np.ndarray], y: np.ndarray, names: tuple[str, ...], fol
         guess = np.zeros(n)
         for f in np.unique(folds):
             guess[folds == f] = sigmoid(x.dot(fit_sparse(x, t, folds != f)))[folds == f]
-        links.append((kept, fit_sparse(x, t)))
+        w = fit_sparse(x, t)
+        strong = np.abs(w[: len(kept)]) >= FAINT * np.abs(w[: len(kept)]).max(initial=0)
+        links.append((kept[strong], np.r_[w[: len(kept)][strong], w[len(kept) :]]))
         earlier = np.c_[earlier, guess]
     return Chain(names, links)
 
