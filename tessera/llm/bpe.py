@@ -213,7 +213,7 @@ def decoded(tokens: DataFrame, bpe: ByteBPE, ids_col: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.binary())], [*b.schema.names, "decoded"])
 
     tokens = tokens.drop("decoded")
-    return tokens.mapInArrow(fn, T.StructType(tokens.schema.fields).add("decoded", "binary"))
+    return tokens.mapInArrow(fn, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def digests(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
