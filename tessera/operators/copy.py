@@ -48,7 +48,7 @@ def copy_table(df: DataFrame, path: str, target: dict[str, str], key: str | None
         if only is not None:
             own = own.where(F.col(BATCH).isin(only))
         own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
-        rows = spark.read.parquet(path).count()
+        rows = spark.read.schema(own.schema).parquet(path).count()  # an empty table has no file to take a schema from
     sums = losses.agg(*[F.sum(c).alias(c) for c in losses.columns]).first()
     return CopyResult(path, rows, {c: sums[c] for c in losses.columns if sums[c]})
 
