@@ -196,6 +196,25 @@ class Unnest(Node):
     column: str = "column_value"
 
 
+@dataclass(frozen=True)
+class Pivot(Node):
+    source: Node
+    aggregates: tuple[Item, ...]
+    column: Node
+    values: tuple[Item, ...]
+    alias: str | None = None
+
+
+@dataclass(frozen=True)
+class Unpivot(Node):
+    source: Node
+    value: str
+    name: str
+    columns: tuple[Item, ...]
+    keep_nulls: bool = False
+    alias: str | None = None
+
+
 @dataclass(frozen=True)
 class Join(Node):
     left: Node

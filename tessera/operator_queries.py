@@ -214,10 +214,26 @@ def script_cursor_for(spark, d):
     return run_block(spark, sql, "oracle", "SELECT s AS total")
 
 
+def sql_table_fn(spark, d):
+    from .dialects.procedural import create_function
+
+    _views(spark, d)
+    create_function(spark, "CREATE FUNCTION nations_of(r INT) RETURNS TABLE (k INT, name VARCHAR(30)) LANGUAGE SQL RETURN SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = r", "db2")
+    return spark.sql("SELECT k, name FROM nations_of(2)")
+
+
+def exec_immediate_using(spark, d):
+    from .dialects.procedural import run_block
+
+    _views(spark, d)
+    sql = "DECLARE x NUMBER(18); BEGIN EXECUTE IMMEDIATE 'SELECT COUNT(*) FROM nation WHERE n_regionkey = :1 AND n_nationkey > :2' INTO x USING 2, 5; END;"
+    return run_block(spark, sql, "oracle", "SELECT x AS n")
+
+
 _ALL = (
     copy_pk_ranges, copy_no_pk, copy_idempotent, validate_counts, validate_checksum, coerce_unsigned_overflow, coerce_bool, coerce_set_array, coerce_time_range, coerce_interval, coerce_nul_strip, coerce_bits,
     check_violations, pk_violations, fk_orphans, enum_violations, set_subset_violations, my_upsert, my_insert_ignore, insert_select, update_simple, update_join, update_tuple, delete_using, delete_subquery, ora_merge,
-    ora_merge_conditional, range_bucket_counts, list_bucket_default, hash_bucket_counts, interval_bucket, sql_scalar_fn, script_loop_sum, script_cursor_for,
+    ora_merge_conditional, range_bucket_counts, list_bucket_default, hash_bucket_counts, interval_bucket, sql_scalar_fn, script_loop_sum, script_cursor_for, sql_table_fn, exec_immediate_using,
 )
 
 
@@ -258,6 +274,8 @@ def oracle_sql() -> dict[str, str]:
         "list_bucket_default": "SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS part, count(*) AS n FROM orders GROUP BY 1",
         "interval_bucket": "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, count(*) AS n FROM orders GROUP BY 1",
         "sql_scalar_fn": "SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))), 2) AS DOUBLE) AS net FROM lineitem",
+        "sql_table_fn": "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey = 2",
+        "exec_immediate_using": "SELECT count(*) AS n FROM nation WHERE n_regionkey = 2 AND n_nationkey > 5",
         "script_loop_sum": "SELECT CAST(385 AS BIGINT) AS total",
         "script_cursor_for": "SELECT CAST(sum(CASE WHEN n_regionkey > 2 THEN n_nationkey ELSE 1 END) AS BIGINT) AS total FROM nation",
     }

@@ -356,6 +356,21 @@ SQL: dict[str, tuple[str, str, str]] = {
         "SELECT n_name FROM nation WHERE n_nationkey >= ALL (SELECT n_nationkey FROM nation) OR n_regionkey = ANY (SELECT r_regionkey FROM region WHERE r_name = 'ASIA')",
         "SELECT n_name FROM nation WHERE n_nationkey >= (SELECT max(n_nationkey) FROM nation) OR n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA')",
     ),
+    "ora_pivot": (
+        "oracle",
+        "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) PIVOT (COUNT(o_orderkey) FOR o_orderstatus IN ('F' AS done, 'O' AS opened))",
+        "SELECT o_orderpriority, count(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS done, count(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS opened FROM orders GROUP BY o_orderpriority",
+    ),
+    "ora_unpivot": (
+        "oracle",
+        "SELECT n_name, what, k FROM (SELECT n_name, n_nationkey, n_regionkey FROM nation) UNPIVOT (k FOR what IN (n_nationkey, n_regionkey AS region))",
+        "SELECT n_name, 'N_NATIONKEY' AS what, n_nationkey AS k FROM nation UNION ALL SELECT n_name, 'region', n_regionkey FROM nation",
+    ),
+    "ora_collection_table": (
+        "oracle",
+        "SELECT n.n_nationkey, t.column_value AS part FROM nation n, TABLE(SPLIT(n.n_name, '_')) t",
+        "SELECT n_nationkey, unnest(string_split(n_name, '_')) AS part FROM nation",
+    ),
     "tpch_q3": (
         "mysql",
         "SELECT l.l_orderkey, ROUND(SUM(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue, o.o_orderdate FROM customer c, orders o, lineitem l WHERE c.c_mktsegment = 'BUILDING' AND c.c_custkey = o.o_custkey AND l.l_orderkey = o.o_orderkey AND o.o_orderdate < '1995-03-15' AND l.l_shipdate > '1995-03-15' GROUP BY l.l_orderkey, o.o_orderdate ORDER BY revenue DESC, l.l_orderkey LIMIT 10",
