@@ -30,6 +30,8 @@ _OFF = 256
 BUCKETS = 1 << 15
 #: Words that a task gathers before their distinct ones are folded, and distinct words in a row on the way to the fold.
 GATHER, ROW = 6_000_000, 512
+#: Texts whose words are numbered at a time, and texts in an Arrow batch at most (split into words they are many times as large).
+STEP, BATCH = 500, 500
 _DONE = "\x01"
 
 
@@ -124,40 +126,44 @@ def encoded(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str
     as they are, in the order of the input.
     """
     kind = docs.schema[id_col].dataType
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))  # of the session: it is read when the plan runs
     words = docs.select(F.col(id_col).alias("doc_id"), bpe.split(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
 
     def number(batches):
         """Rows of distinct words first, then the texts as numbers of words; again for each GATHER words."""
-        none_words = pa.list_(pa.string())
-        id_type = None
+        strings = pa.list_(pa.string())
 
         def out(held):
-            lists = pa.chunked_array([h.column("words") for h in held]).combine_chunks()
-            flat = pc.list_flatten(lists).dictionary_encode()
-            distinct, index = flat.dictionary, flat.indices.to_numpy().astype("<i4")
-            for i in range(0, max(len(distinct), 1), ROW * 64):
-                at = np.r_[np.arange(i, max(min(i + ROW * 64, len(distinct)), i), ROW), min(i + ROW * 64, len(distinct))].astype(np.int32)
+            numbered = pa.chunked_array([h[2] for h in held]).unify_dictionaries()
+            distinct = numbered.chunk(0).dictionary
+            fresh = 1
+            for i in range(0, len(distinct), ROW * 64):
+                end = min(i + ROW * 64, len(distinct))
+                at = np.r_[np.arange(i, end, ROW), end].astype(np.int32)
                 n = len(at) - 1
-                if n > 0:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.array([int(i == 0 and k == 0) for k in range(n)], pa.int32()), pa.nulls(n, pa.binary()), pa.ListArray.from_arrays(pa.array(at), distinct).cast(none_words)], ["doc_id", "fresh", "index", "words"])
-            ends = np.cumsum(pc.list_value_length(lists).to_numpy())
-            done = 0
-            for h in held:
-                n = h.num_rows
-                parts = [index[a:b].tobytes() for a, b in zip(np.r_[0, ends][done : done + n], ends[done : done + n])]
-                done += n
-                yield pa.RecordBatch.from_arrays([h.column("doc_id"), pa.array([2] * n, pa.int32()), pa.array(parts, pa.binary()), pa.nulls(n, none_words)], ["doc_id", "fresh", "index", "words"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, held[0][0].type), pa.array([fresh] + [0] * (n - 1), pa.int32()), pa.nulls(n, pa.binary()), pa.ListArray.from_arrays(pa.array(at), distinct).cast(strings)], ["doc_id", "fresh", "index", "words"])
+                fresh = 0
+            for (ids, ends, _), chunk in zip(held, numbered.chunks):
+                index = chunk.indices.to_numpy().astype("<i4", copy=False)
+                parts = [index[a:b].tobytes() for a, b in zip(np.r_[0, ends], ends)]
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([2] * n, pa.int32()), pa.array(parts, pa.binary()), pa.nulls(n, strings)], ["doc_id", "fresh", "index", "words"])
 
         held, size = [], 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            id_type = b.schema.field("doc_id").type
-            held.append(b)
-            size += len(b.column("words").flatten())
-            if size >= GATHER:
-                yield from out(held)
-                held, size = [], 0
+            for i in range(0, b.num_rows, STEP):  # word by word texts are large: only their numbers are kept
+                part = b.slice(i, STEP)
+                words = part.column("words")
+                numbers = pc.list_flatten(words).dictionary_encode()
+                held.append((pa.concat_arrays([part.column("doc_id")]), np.cumsum(pc.list_value_length(words).to_numpy()), numbers))
+                size += len(numbers)
+                del part, words, numbers
+                if size >= GATHER:
+                    yield from out(held)
+                    held, size = [], 0
+            del b
         if held:
             yield from out(held)
 
@@ -183,7 +189,8 @@ def encoded(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str
                     continue
                 if table is None:
                     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-                    table = np.frombuffer("".join(parts).encode("utf-16-le"), "<u2").astype("<u4") - np.uint32(_OFF), np.r_[0, ends]
+                    table = np.frombuffer("".join(parts).encode("utf-16-le"), "<u2") - np.uint16(_OFF), np.r_[0, ends]
+                    parts = []
                 all_ids, ends = table
                 n, out, text = [], [], []
                 for index in b.column("index").slice(s, e - s).to_pylist():
