@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, mixing, quality_rules, simhash, toxicity
+from tessera.llm import bpe, mixing, overlap, quality_rules, toxicity
 from tessera.llm.common import stored, table
 from tessera.llm.queries import byte_bpe
 
@@ -21,7 +21,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    return simhash.deduplicated(docs)
+    return overlap.deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

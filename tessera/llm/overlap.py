@@ -1,0 +1,143 @@
+"""Near-duplicates by the share of word shingles that two documents have in common.
+
+Two documents link where the Jaccard similarity of their sets of SHINGLE-word
+shingles is at least LEAST.  Texts with one set of shingles are one node from
+the start.  Candidates share one of BANDS bands of WIDTH minima of hashes; a
+pair of similarity s shares none with a chance of (1 - s**WIDTH)**BANDS, which
+is 3 in a million at 0.8 and falls fast above.  (A bound on the bits of a
+SimHash does not do here: at 0.8 two fingerprints differ in about ten of 64
+bits, and blocks that ten bits leave whole are too short to part documents.)
+Candidates are verified on the sets themselves.
+
+Each band first links its documents to its smallest one, so a large group of
+copies takes as many pairs as it has members.  Only documents that are still
+apart then meet the others of their bands, where their sketches of one bit a
+minimum allow a similarity of LEAST.  Those pairs grow with the square of the
+documents that share a band and stay apart.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import map_arrow, stored, texts
+from .simhash import components
+
+SEED = 42
+SHINGLE, LEAST = 5, 0.8
+BANDS, WIDTH = 32, 5
+#: Of 128 bits, two documents of similarity LEAST differ in 13 on average, and in more than FAR with a chance below 1e-7.
+FAR = 34
+_CHUNK = 8_192
+
+_rng = np.random.default_rng(SEED)
+_TIMES = _rng.integers(0, 1 << 63, BANDS * WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
+_JOIN = _rng.integers(0, 1 << 63, (BANDS, WIDTH), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of the SHINGLE-word shingles, lower case; a shorter text is one shingle, none without words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    rows = zip(*(words[k:] for k in range(SHINGLE))) if len(words) >= SHINGLE else [words]
+    return np.unique(np.fromiter((digest(join(t), SEED) for t in rows), np.uint64))
+
+
+def minima(h: np.ndarray) -> np.ndarray:
+    """The least product of the hashes with each of _TIMES; all ones for an empty set."""
+    low = np.full(len(_TIMES), ~np.uint64(0))
+    for i in range(0, len(h), _CHUNK):
+        np.minimum(low, (h[i : i + _CHUNK, None] * _TIMES).min(0), out=low)
+    return low
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets of hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1)
+
+
+def _sketched(rows: DataFrame, kind: str) -> DataFrame:
+    """(row, doc_id, digest, bands, s, t): digest of the set; one key a band; the sketch in two longs."""
+
+    def fn(batch):
+        digest, low = [], np.empty((batch.num_rows, BANDS * WIDTH), np.uint64)
+        for i, t in enumerate(texts(batch)):
+            h = shingles(t)
+            digest.append(xxhash.xxh3_128_digest(h.tobytes()))
+            low[i] = minima(h)
+        keys = (low.reshape(-1, BANDS, WIDTH) * _JOIN).sum(2, dtype=np.uint64).view(np.int64)
+        # the high bits: the low ones of an odd product are those of the hash
+        sketch = np.packbits((low[:, :128] >> np.uint64(20) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+        cols = [batch.column("row"), batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())]
+        return pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "digest", "bands", "s", "t"])
+
+    return map_arrow(rows, fn, f"row long, doc_id {kind}, digest binary, bands array<long>, s long, t long")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of row numbers whose documents are similar enough."""
+    pairs = stored(pairs, "overlap-pairs")
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), "overlap-ends")
+
+    def sets(batch):
+        blobs = [shingles(t).tobytes() for t in texts(batch)]
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(blobs, pa.binary())], ["row", "hashes"])
+
+    held = rows.join(ends, rows.row == ends.end, "left_semi").select("row", "text")
+    held = stored(map_arrow(held, sets, "row long, hashes binary"), "overlap-sets")
+    left, right = (held.select(F.col("row").alias(f"{x}_row"), F.col("hashes").alias(f"{x}_hashes")) for x in "ab")
+
+    def fn(batch):
+        a, b = (batch.column(k).to_pylist() for k in ("a_hashes", "b_hashes"))
+        ok = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= LEAST for x, y in zip(a, b)]
+        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
+
+    met = pairs.join(left, F.col("a") == F.col("a_row")).join(right, F.col("b") == F.col("b_row"))
+    return stored(map_arrow(met.select("a", "b", "a_hashes", "b_hashes"), fn, "a long, b long"), "overlap-links")
+
+
+def grouped(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, root): root is the same for rows of one group. rows: stored, with distinct numbers in a column `row`."""
+    kind = rows.schema[id_col].dataType.simpleString()
+    rows = rows.select("row", F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sketched = stored(_sketched(rows, kind), "overlap-sketches")
+    sets = stored(sketched.groupBy("digest").agg(F.min("row").alias("node")), "overlap-distinct")
+    own = sketched.select("row", "doc_id", "digest").join(sets, "digest").select("row", "doc_id", "node")
+    keyed = sketched.join(sets, sketched.row == sets.node, "left_semi").select(F.col("row").alias("node"), "s", "t", F.explode("bands").alias("key"))
+    firsts = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    keyed = stored(keyed.join(firsts.select("key", "lead"), "key"), "overlap-bands")
+    links = _verified(keyed.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), rows)
+
+    root = stored(components(links), "overlap-groups").select(F.col("node").alias("of"), "root")
+    named = keyed.join(root, keyed.node == root.of, "left").select("key", "node", "lead", "s", "t", F.coalesce("root", "node").alias("root"))
+    named = stored(named, "overlap-named")
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    apart = stored(named.join(mixed, "key", "left_semi"), "overlap-apart")
+    other = apart.select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "root", "s", "t")])
+    bits = F.bit_count(F.col("s").bitwiseXOR(F.col("s_"))) + F.bit_count(F.col("t").bitwiseXOR(F.col("t_")))
+    met = apart.join(other, (apart.key == other.key) & F.expr("node < node_ and node <> lead and root <> root_") & (bits <= FAR))
+    links = links.union(_verified(met.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct(), rows))
+
+    root = stored(components(links), "overlap-groups").select(F.col("node").alias("of"), "root")
+    return own.join(root, own.node == root.of, "left").select("row", "doc_id", F.coalesce("root", "node").alias("root"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, with all columns: the one with the smallest id, then the first stored.
+
+    A row without an id stays only where no row of its group has one.  A null
+    text counts as empty; texts without words are one group.
+    """
+    # the rows are written with their numbers, so that both readings below agree on them
+    rows = stored(docs.select(F.struct(*docs.columns).alias("doc")).withColumn("row", F.monotonically_increasing_id()), "overlap-rows")
+    of = grouped(rows.select("row", F.col(f"doc.{id_col}").alias("doc_id"), F.col(f"doc.{text_col}").alias("text")))
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    first = stored(first.select(F.col("first.row").alias("kept")), "overlap-kept")
+    return rows.join(first, rows.row == first.kept, "left_semi").select("doc.*")
