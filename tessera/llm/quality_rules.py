@@ -30,8 +30,6 @@ LADDER = (0.0, 0.0005, 0.001, 0.002, 0.005, 0.01)
 LEAST_LIFT = 5.0
 #: Steps of a ratio: cutoffs lie on sqrt(ratio) * BINS.
 BINS = 400
-#: Strata: languages, hashed into so many classes.
-STRATA = 64
 RATIOS = ("symbols", "capitals", "marks", "digits", "dup_lines", "repeats", "long_words", "short_words")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -90,14 +88,14 @@ def measure(text: bytes) -> tuple[list[int], list[float]]:
 
 
 def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs plus a struct `m`: counts (long), bins (array of int, one a ratio), base_failed and stratum.
+    """(row, stratum, counts of _COUNTS (long), bins (array of int, one a ratio), base_failed); `row` is the row of docs.
 
-    A null text has no words.  A null language is a stratum like any other;
-    without the language column all rows are one stratum.
+    A null text has no words.  The stratum is the language itself; a null one,
+    apart from '', is a stratum like any other.  Without the language column
+    all rows are one stratum.
     """
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
-    stratum = F.pmod(F.xxhash64(F.coalesce(lang.cast("string"), F.lit(""))), F.lit(STRATA)).cast("int")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), stratum.alias("stratum"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), lang.cast("string").alias("stratum"))
 
     def fn(batch):
         got = [measure(t) for t in texts(batch)]
@@ -108,7 +106,7 @@ def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         cols = [batch.column("row"), batch.column("stratum"), *[pa.array(counts[:, k]) for k in range(5)], pa.array(list(bins), pa.list_(pa.int32())), pa.array(failed)]
         return pa.RecordBatch.from_arrays(cols, ["row", "stratum", *_COUNTS, "bins", "base_failed"])
 
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("stratum", T.IntegerType())])
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("stratum", T.StringType())])
     for c in _COUNTS:
         schema = schema.add(c, "long")
     return map_arrow(rows, fn, schema.add("bins", T.ArrayType(T.IntegerType())).add("base_failed", "boolean"))
@@ -174,50 +172,57 @@ def control(rejected: np.ndarray, n: int, strata: int, alpha: float = ALPHA, del
     return last
 
 
-def learn(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> dict[int, list[int]]:
+def least_holdouts(strata: int) -> int:
+    """The good holdouts without which no level stands, even if none is rejected."""
+    return math.ceil(math.log(DELTA / max(strata, 1)) / math.log(1 - ALPHA) - 1e-6)
+
+
+def learn(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> dict[str | None, list[int]]:
     """Cutoffs for each stratum that gets rules. rows: (id, stratum, bins) of all documents; labels: id, quality.
 
-    Every labelled document counts, each label once a row.  What reaches the
-    driver is a count for each stratum, ratio and bin.
+    Every labelled document counts, each label once a row.  Strata with too
+    few labels for any level get no rules.  What reaches the driver is a count
+    for each other stratum, ratio and bin.
     """
+    spark = rows.sparkSession
     quality = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.max("quality").alias("good"))
     half = F.pmod(F.xxhash64(F.col(id_col), F.lit("half")), F.lit(2))
     known = stored(rows.where("not base_failed").join(quality, id_col).select("stratum", "bins", "good", half.alias("half")), "rules-labelled")
-    counts = known.where("half = 0").select("stratum", "good", F.posexplode("bins").alias("ratio", "bin")).groupBy("stratum", "good", "ratio", "bin").count().collect()
-    strata = sorted(r[0] for r in known.select("stratum").distinct().collect())
-    proposals = {}
-    for s in strata:
-        tables = np.zeros((2, len(RATIOS), BINS + 1), np.int64)
-        for r in counts:
-            if r.stratum == s:
-                tables[int(r.good > 0), r.ratio, r.bin] += r["count"]
-        proposals[s] = propose(tables[1], tables[0])
-    if not strata:
+    sizes = stored(known.groupBy("stratum").agg(F.count_if(F.expr("half = 1 and good > 0")).alias("n")), "rules-strata")
+    strata = sizes.count()
+    enough = [r.stratum for r in sizes.where(F.col("n") >= least_holdouts(strata)).select("stratum").collect()]
+    if not enough:
         return {}
-    fails = []
-    for level in range(len(LADDER)):
-        hit = F.lit(False)
-        for s in strata:
-            cut = F.array(*[F.lit(c) for c in proposals[s][level]])
-            hit = hit | ((F.col("stratum") == s) & F.exists(F.zip_with("bins", cut, lambda b, c: b > c), lambda x: x))
-        fails.append(F.sum(hit.cast("long")).alias(f"l{level}"))
-    tested = known.where("half = 1 and good > 0").groupBy("stratum").agg(F.count("*").alias("n"), *fails).collect()
+
+    def of(strata: DataFrame) -> DataFrame:
+        own = strata.withColumnRenamed("stratum", "own")
+        return known.join(F.broadcast(own), F.col("stratum").eqNullSafe(F.col("own")))
+
+    first = of(spark.createDataFrame([(s,) for s in enough], "stratum string")).where("half = 0")
+    counts = first.select("stratum", "good", F.posexplode("bins").alias("ratio", "bin")).groupBy("stratum", (F.col("good") > 0).alias("good"), "ratio", "bin").count().collect()
+    tables = {s: np.zeros((2, len(RATIOS), BINS + 1), np.int64) for s in enough}
+    for r in counts:
+        tables[r.stratum][int(r.good), r.ratio, r.bin] += r["count"]
+    proposals = {s: propose(t[1], t[0]) for s, t in tables.items()}
+    second = of(spark.createDataFrame(list(proposals.items()), "stratum string, cuts array<array<int>>")).where("half = 1 and good > 0")
+    fails = [F.count_if(F.exists(F.zip_with("bins", F.col("cuts")[k], lambda b, c: b > c), lambda x: x)).alias(f"l{k}") for k in range(len(LADDER))]
     out = {}
-    for r in tested:
-        level = control([r[f"l{k}"] for k in range(len(LADDER))], r.n, len(strata))
+    for r in second.groupBy("stratum").agg(F.count("*").alias("n"), *fails).collect():
+        level = control([r[f"l{k}"] for k in range(len(LADDER))], r.n, strata)
         if level >= 0:
             out[r.stratum] = proposals[r.stratum][level]
     return out
 
 
-def verdict(cutoffs: dict[int, list[int]]):
+def verdict(cutoffs: dict[str | None, list[int]]):
     """True where a row of measured() passes: not base_failed, and no rule of its stratum rejects it."""
-    bad = F.col("base_failed")
-    for s, cut in sorted(cutoffs.items()):
-        over = [F.col("bins")[k] > c for k, c in enumerate(cut) if c < BINS]
-        for o in over:
-            bad = bad | ((F.col("stratum") == s) & o)
-    return ~bad
+    if not cutoffs:
+        return ~F.col("base_failed")
+    name = lambda s: "" if s is None else "=" + s  # noqa: E731  (a map has no null keys)
+    pairs = [x for s, cut in sorted(cutoffs.items(), key=lambda c: name(c[0])) for x in (F.lit(name(s)), F.array(*map(F.lit, cut)))]
+    cut = F.try_element_at(F.create_map(*pairs), F.coalesce(F.concat(F.lit("="), "stratum"), F.lit("")))
+    over = F.exists(F.zip_with("bins", cut, lambda b, c: b > c), lambda x: x)
+    return ~(F.col("base_failed") | F.coalesce(over, F.lit(False)))
 
 
 def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -103,6 +103,24 @@ def test_rules(spark, tables):
     assert kept[0].asDict().keys() == {"doc_id", "text", "lang", "m"}
 
 
+def test_languages_share_no_cutoffs(spark):
+    """null, '' and 'de' fell into one class of 64: the good documents of the smaller ones, full of symbols, were rejected."""
+    rows, labels = [], []
+    for lang, n in (("de", 6_000), ("", 60), (None, 60), ("pl", 700)):
+        for k in range(n):
+            i, good = len(rows), k % 4 != 0
+            odd = not good if lang in ("de", "pl") else good
+            rows.append((i, lang, [9 if odd else 0] + [0] * (len(quality_rules.RATIOS) - 1), False))
+            labels.append((i, int(good)))
+    d = spark.createDataFrame(rows, "doc_id long, stratum string, bins array<int>, base_failed boolean")
+    cutoffs = quality_rules.learn(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert set(cutoffs) == {"de"} or set(cutoffs) == {"de", "pl"}
+    kept = {r.doc_id for r in d.where(quality_rules.verdict(cutoffs)).collect()}
+    assert all((i in kept) == (lang in ("", None) or not bins[0] or lang not in cutoffs) for i, lang, bins, _ in rows)
+    seen = quality_rules.measured(spark.createDataFrame([("a", None), ("a", ""), ("a", "de")], "text string, lang string"))
+    assert {r.stratum for r in seen.collect()} == {None, "", "de"}
+
+
 def test_rules_without_labels_or_rows(spark, tables):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality_rules.rules(tables[2], none).where("kept <> (not base_failed)")
