@@ -205,7 +205,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     Each round moves edges toward smaller nodes through grouped minima and a
     join; no neighbour list is gathered, so a node with many edges does not
-    fill a task.  Ends when a round changes nothing.
+    fill a task.  Ends when a round changes nothing; an error if `rounds` rounds
+    do not get there.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
 
@@ -227,6 +228,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 

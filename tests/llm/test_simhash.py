@@ -84,6 +84,12 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 100 for i in range(100, 160)) and got[300] == got[299] == 299
 
 
+def test_components_that_have_not_settled_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="settled"):
+        simhash.components(edges, rounds=1)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).collect() == [] and simhash.deduplicated(df).collect() == []
