@@ -34,12 +34,14 @@ def to_bool(c: Column, source: T.DataType) -> Column:
 
 
 def to_int(c: Column, source: T.DataType, target: str) -> Column:
-    """NULL where the value does not parse or fit."""
+    """NULL where the value does not parse or fit; fractions are cut off."""
     if isinstance(source, T.BooleanType):
         return c.cast(target)
     if isinstance(source, (T.FloatType, T.DoubleType, T.DecimalType)):
         low, high = _INTS[target]
-        return F.when((c >= low) & (c <= high), F.floor(c)).try_cast(target) if not isinstance(source, T.DecimalType) else F.when((c >= low) & (c <= high), c).cast("decimal(38,0)").try_cast(target)
+        bound = lambda x: F.expr(f"CAST('{x}' AS DECIMAL(20,0))")
+        # the fraction is cut off, toward zero; a double holds the least bigint but nothing just below it
+        return F.when(((c > bound(low - 1)) | (c >= bound(low))) & (c < bound(high + 1)), c).try_cast(target)
     text = F.decode(c, "UTF-8") if isinstance(source, T.BinaryType) else c
     return F.trim(text.cast("string")).try_cast(target) if not isinstance(source, T.IntegralType) else c.try_cast(target)
 
@@ -48,6 +50,8 @@ def to_text(c: Column, source: T.DataType) -> Column:
     """Text without NULs; bytes that are not UTF-8 as bits; timestamps as RFC 3339."""
     if isinstance(source, T.BinaryType):
         return F.when(F.is_valid_utf8(F.decode(c, "ISO-8859-1")) & _utf8(c), strip_nul(F.decode(c, "UTF-8"))).otherwise(bits(c))
+    if isinstance(source, T.TimestampType):  # of the session's zone
+        c = F.convert_timezone(None, F.lit("UTC"), c.cast("timestamp_ntz"))
     if isinstance(source, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     if isinstance(source, T.StringType):

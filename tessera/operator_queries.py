@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from .functions import coerce as C
 from .operators import constraints, dml, partitioning
 from .operators.copy import copy_table, read_copy, validate
+from .shared import shared_dir
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,8 +21,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _path(spark: SparkSession, name: str) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 _ORDERS = {"o_orderkey": "bigint", "o_custkey": "int", "o_orderstatus": "string", "o_totalprice": "decimal(12,2)"}
@@ -47,6 +47,45 @@ def copy_idempotent(spark, d):
     return read_copy(spark, path).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
+def copy_replay_after_lower_key(spark, d):
+    """Keys from 10 on are copied, then lower ones arrive and one batch is replayed: no row is lost."""
+    path = _path(spark, "copy")
+    orders = _t(spark, d, "orders")
+    copy_table(orders.where("o_orderkey >= 300"), path, _ORDERS, key="o_orderkey", width=100)
+    copy_table(orders, path, _ORDERS, key="o_orderkey", width=100, only=[0, 3])
+    return read_copy(spark, path).select("o_orderkey", "o_orderstatus")
+
+
+def copy_sparse_keys(spark, d):
+    """A key whose values are far apart: batches are as wide as their number allows."""
+    path = _path(spark, "copy")
+    own = _t(spark, d, "nation").select((F.col("n_nationkey").cast("long") * 1_000_000_007).alias("id"), "n_name")
+    copy_table(own, path, {"id": "bigint", "n_name": "string"}, key="id", width=10)
+    return read_copy(spark, path).select("id", F.col("n_name").alias("name"))
+
+
+def copy_losses(spark, d):
+    """What a copy into too narrow a column loses, counted by the job that writes it."""
+    got = copy_table(_t(spark, d, "orders"), _path(spark, "copy"), {"o_orderkey": "tinyint", "o_totalprice": "double"}, key="o_orderkey", width=1_000)
+    return spark.createDataFrame([(got.rows, got.lost.get("o_orderkey", 0), got.lost.get("o_totalprice", 0))], "copied long, lost_keys long, lost_prices long")
+
+
+def coerce_float_trunc(spark, d):
+    c = F.col("c_acctbal") - 0.5
+    return _t(spark, d, "customer").select("c_custkey", C.coerce(c, T.DoubleType(), "bigint").alias("whole"), C.coerce(c.cast("decimal(12,2)"), T.DecimalType(12, 2), "int").alias("from_decimal"), C.coerce(c, T.DoubleType(), "tinyint").cast("int").alias("tiny"))
+
+
+def coerce_timestamp_utc(spark, d):
+    """Text of timestamps is in UTC whatever the session's zone is."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    at = F.timestamp_seconds(F.lit(1_577_836_800) + F.col("n_nationkey") * 3_600)
+    return _t(spark, d, "nation").select("n_nationkey", C.coerce(at, T.TimestampType(), "string").alias("s"), F.lit(zone != "").alias("zoned"))
+
+
+def coerce_to_text(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", C.coerce(F.col("o_orderkey"), T.LongType(), "string").alias("whole"), C.coerce(F.col("o_totalprice").cast("decimal(12,2)"), T.DecimalType(12, 2), "string").alias("price"))
+
+
 def validate_counts(spark, d):
     got = validate(_t(spark, d, "nation"), _t(spark, d, "nation").where("n_nationkey <> 3"))
     return got.select("source_rows", "target_rows", "same_rows")
@@ -125,6 +164,29 @@ def my_upsert(spark, d):
     return dml.execute(spark, sql, "mysql", keys=["n_nationkey"]).table
 
 
+def my_upsert_repeated_keys(spark, d):
+    """Rows of VALUES that share a key act one after the other."""
+    _views(spark, d)
+    sql = "INSERT INTO region (r_regionkey, r_name) VALUES (1, 'b'), (1, 'c'), (7, 'd'), (7, 'e'), (NULL, 'x'), (NULL, 'y') ON DUPLICATE KEY UPDATE r_name = CONCAT(r_name, '+', VALUES(r_name))"
+    return dml.execute(spark, sql, "mysql", keys=["r_regionkey"]).table
+
+
+def my_replace_last(spark, d):
+    _views(spark, d)
+    return dml.execute(spark, "REPLACE INTO region VALUES (1, 'b'), (1, 'c'), (8, 'd'), (8, 'e')", "mysql", keys=["r_regionkey"]).table
+
+
+def my_insert_ignore_nulls(spark, d):
+    _views(spark, d)
+    return dml.execute(spark, "INSERT IGNORE INTO region VALUES (NULL, 'x'), (NULL, 'y'), (9, 'first'), (9, 'second')", "mysql", keys=["r_regionkey"]).table
+
+
+def dml_returning(spark, d):
+    """The rows that an UPDATE wrote."""
+    _views(spark, d)
+    return dml.execute(spark, "UPDATE nation SET n_name = n_name || '!' WHERE n_regionkey = 3", "oracle").changed
+
+
 def my_insert_ignore(spark, d):
     _views(spark, d)
     return dml.execute(spark, "INSERT IGNORE INTO region VALUES (1, 'AGAIN'), (7, 'NEW')", "mysql", keys=["r_regionkey"]).table
@@ -231,7 +293,8 @@ def exec_immediate_using(spark, d):
 
 
 _ALL = (
-    copy_pk_ranges, copy_no_pk, copy_idempotent, validate_counts, validate_checksum, coerce_unsigned_overflow, coerce_bool, coerce_set_array, coerce_time_range, coerce_interval, coerce_nul_strip, coerce_bits,
+    copy_pk_ranges, copy_no_pk, copy_idempotent, copy_replay_after_lower_key, copy_sparse_keys, copy_losses, coerce_float_trunc, coerce_timestamp_utc, coerce_to_text,
+    my_upsert_repeated_keys, my_replace_last, my_insert_ignore_nulls, dml_returning, validate_counts, validate_checksum, coerce_unsigned_overflow, coerce_bool, coerce_set_array, coerce_time_range, coerce_interval, coerce_nul_strip, coerce_bits,
     check_violations, pk_violations, fk_orphans, enum_violations, set_subset_violations, my_upsert, my_insert_ignore, insert_select, update_simple, update_join, update_tuple, delete_using, delete_subquery, ora_merge,
     ora_merge_conditional, range_bucket_counts, list_bucket_default, hash_bucket_counts, interval_bucket, sql_scalar_fn, script_loop_sum, script_cursor_for, sql_table_fn, exec_immediate_using,
 )
@@ -244,6 +307,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "copy_pk_ranges": "SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS o_totalprice FROM orders",
+        "copy_replay_after_lower_key": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey < 100 OR o_orderkey >= 300",
+        "copy_sparse_keys": "SELECT CAST(n_nationkey AS BIGINT) * 1000000007 AS id, n_name AS name FROM nation",
+        "copy_losses": "SELECT count(*) AS copied, count(*) FILTER (WHERE o_orderkey > 127) AS lost_keys, CAST(0 AS BIGINT) AS lost_prices FROM orders",
+        "coerce_float_trunc": "SELECT c_custkey, CAST(trunc(c_acctbal - 0.5) AS BIGINT) AS whole, CAST(trunc(CAST(c_acctbal - 0.5 AS DECIMAL(12,2))) AS INTEGER) AS from_decimal, CASE WHEN trunc(c_acctbal - 0.5) BETWEEN -128 AND 127 THEN CAST(trunc(c_acctbal - 0.5) AS INTEGER) END AS tiny FROM customer",
+        "coerce_timestamp_utc": "SELECT n_nationkey, strftime(TIMESTAMP '2020-01-01 00:00:00' + n_nationkey * INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S.000000Z') AS s, true AS zoned FROM nation",
+        "coerce_to_text": "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS whole, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS price FROM orders",
+        "my_upsert_repeated_keys": "SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN r_name || '+b+c' ELSE r_name END AS r_name FROM region UNION ALL VALUES (7, 'd+e'), (NULL, 'x'), (NULL, 'y')",
+        "my_replace_last": "SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN 'c' ELSE r_name END AS r_name FROM region UNION ALL SELECT CAST(8 AS INTEGER), 'e'",
+        "my_insert_ignore_nulls": "SELECT r_regionkey, r_name FROM region UNION ALL VALUES (NULL, 'x'), (NULL, 'y'), (9, 'first')",
+        "dml_returning": "SELECT n_nationkey, n_name || '!' AS n_name, n_regionkey FROM nation WHERE n_regionkey = 3",
         "copy_no_pk": "SELECT p_size, count(*) AS n FROM part GROUP BY p_size",
         "copy_idempotent": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
         "validate_counts": "SELECT count(*) AS source_rows, count(*) FILTER (WHERE n_nationkey <> 3) AS target_rows, count(*) = count(*) FILTER (WHERE n_nationkey <> 3) AS same_rows FROM nation",

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coerce import coerce, lost
-from .ranges import WIDTH, batch_of
+from .ranges import WIDTH, batch_of, wide_enough
 
 BATCH = "_batch"
+#: Where a copy keeps its plan, below the table's path; readers of the table skip names that begin so.
+PLAN = "_plan"
 
 
 @dataclass
@@ -31,26 +34,42 @@ def coerced(df: DataFrame, target: dict[str, str]) -> DataFrame:
 
 
 def copy_table(df: DataFrame, path: str, target: dict[str, str], key: str | None = None, width: int = WIDTH, only: list[int] | None = None) -> CopyResult:
-    """Writes a table in one job. With a key, rows are partitioned by batch number and dynamic overwrite replaces just the
-    batches written, so a replay (`only`: batch numbers) never doubles rows. Without a key the whole table is replaced.
+    """Writes a table in one job, which also counts its rows and losses.
+
+    With a key, rows are partitioned by batch number, which is the key by a
+    width, counted from 0.  The first copy fixes the width (wider than asked
+    for where the keys would make too many batches) and keeps it beside the
+    data, so a replay (`only`: batch numbers) means the same keys whatever has
+    arrived meanwhile, and dynamic overwrite replaces just those batches.
+    Without `only` the whole table is replaced.
     """
     spark = df.sparkSession
-    out = coerced(df, target)
     by = {c.lower(): c for c in df.columns}
-    losses = df.select(*[lost(F.col(f"`{by[n.lower()]}`"), coerce(F.col(f"`{by[n.lower()]}`"), df.schema[by[n.lower()]].dataType, k)).alias(n) for n, k in target.items() if n.lower() in by])
+    if key is not None:
+        if only is not None:
+            width = spark.read.parquet(f"{path}/{PLAN}").first().width
+            df = df.where(batch_of(F.col(key), width).isin(only))
+        else:
+            width = wide_enough(*df.agg(F.min(key), F.max(key)).first(), width)
+    known = {n: by[n.lower()] for n in target if n.lower() in by}
+    losses = [F.coalesce(F.sum(lost(F.col(f"`{c}`"), coerce(F.col(f"`{c}`"), df.schema[c].dataType, target[n]))), F.lit(0)).alias(f"lost_{n}") for n, c in known.items()]
+    seen = Observation()
+    df = df.select(*dict.fromkeys([*known.values(), *([by[key.lower()]] if key else [])])).observe(seen, F.count(F.lit(1)).alias("rows"), *losses)
     if key is None:
-        out.write.mode("overwrite").parquet(path)
-        rows = spark.read.parquet(path).count()
+        coerced(df, target).write.mode("overwrite").parquet(path)
     else:
-        low = df.agg(F.min(key)).first()[0]
-        low = 0 if low is None else int(low // width * width)
-        own = out.withColumn(BATCH, batch_of(F.col(key), low, width))
-        if only is not None:
-            own = own.where(F.col(BATCH).isin(only))
-        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
-        rows = spark.read.schema(own.schema).parquet(path).count()  # an empty table has no file to take a schema from
-    sums = losses.agg(*[F.sum(c).alias(c) for c in losses.columns]).first()
-    return CopyResult(path, rows, {c: sums[c] for c in losses.columns if sums[c]})
+        cols = [F.col(c) for c in target]
+        own = coerced(df.withColumn(BATCH, batch_of(F.col(key), width)), target | {BATCH: "bigint"}).select(*cols, BATCH)
+        own = own.hint("rebalance", BATCH)  # a batch is a few files, not one of every task
+        mode = "static" if only is None else "dynamic"
+        own.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(BATCH).parquet(path)
+        if only is None:
+            spark.createDataFrame([(key, width)], "key string, width long").coalesce(1).write.mode("overwrite").parquet(f"{path}/{PLAN}")
+    try:
+        got = seen.get
+    except Py4JJavaError:  # a plan that is empty from the start runs no job that could be observed
+        got = {}
+    return CopyResult(path, got.get("rows", 0), {n: got[f"lost_{n}"] for n in known if got.get(f"lost_{n}")})
 
 
 def validate(source: DataFrame, target: DataFrame, columns: list[str] | None = None) -> DataFrame:

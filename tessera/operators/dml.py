@@ -8,9 +8,11 @@ caller, who knows the table's constraints.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..dialects import nodes as N
@@ -18,6 +20,7 @@ from ..dialects.emit import Emitter
 from ..dialects.lexer import SqlError
 from ..dialects.parser import parse
 from ..dialects.rewrite import rewritten
+from ..shared import shared_dir
 
 
 @dataclass
@@ -50,35 +53,86 @@ def execute(spark: SparkSession, sql: str, dialect: str, keys: list[str] | None
     raise SqlError("a data change is expected")
 
 
-def _rows(spark, tree: N.Insert, target: DataFrame, dialect: str) -> DataFrame:
-    """The statement's rows in the target's columns and types; left out and DEFAULT columns are NULL."""
+def _rows(spark, tree: N.Insert, target: DataFrame, dialect: str, ordered: bool = False) -> DataFrame:
+    """The statement's rows in the target's columns and types; left out and DEFAULT columns are NULL. ordered: also `_at`, a row's place in VALUES."""
     columns = list(tree.columns) or target.columns
     source = tree.source
     if isinstance(source, N.Values):
-        source = N.Values(tuple(tuple(N.Lit("null") if isinstance(v, N.Default) else v for v in r) for r in source.rows))
-        source = N.Select((N.Item(N.Star()),), N.Derived(source, "_v"))
+        listed = tuple(tuple(N.Lit("null") if isinstance(v, N.Default) else v for v in r) for r in source.rows)
+        listed = tuple((*r, N.Lit("number", str(i))) for i, r in enumerate(listed)) if ordered else listed
+        source = N.Select((N.Item(N.Star()),), N.Derived(N.Values(listed), "_v"))
     rows = _select(spark, source, dialect)
-    if len(rows.columns) != len(columns):
+    if len(rows.columns) != len(columns) + (ordered and isinstance(tree.source, N.Values)):
         raise SqlError(f"{len(columns)} columns, but {len(rows.columns)} values")
-    rows = rows.toDF(*[f"_c{i}" for i in range(len(columns))])
+    rows = rows.toDF(*[f"_c{i}" for i in range(len(rows.columns))])
     place = {c.lower(): i for i, c in enumerate(columns)}
-    return rows.select(*[(F.col(f"_c{place[f.name.lower()]}") if f.name.lower() in place else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema.fields])
+    out = [(F.col(f"_c{place[f.name.lower()]}") if f.name.lower() in place else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema.fields]
+    return rows.select(*out, *([F.col(f"_c{len(columns)}").alias("_at")] if len(rows.columns) > len(columns) else []))
+
+
+def _by_key(rows: DataFrame, keys: list[str], first: bool, told: bool) -> tuple[DataFrame, DataFrame]:
+    """(one row a key, rows with a NULL in a key: they equal nothing). Of rows that share a key the first or the last of VALUES stays.
+
+    Without places any one stays, or, with `told`, more than one is an error
+    when the plan runs.
+    """
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    cols = [c for c in rows.columns if c != "_at"]
+    if "_at" in rows.columns:
+        pick = (F.min_by if first else F.max_by)(F.struct(*cols), F.col("_at"))
+    else:
+        pick = F.first(F.struct(*cols))
+        if told:
+            pick = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"several rows of the source share a key ({', '.join(keys)}); their order, which would decide, is not known"))).otherwise(pick)
+    one = rows.where(whole).groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(pick.alias("_row")).select("_row.*")
+    return one, rows.where(~whole).select(*cols)
 
 
 def insert(spark: SparkSession, tree: N.Insert, dialect: str, keys: list[str] | None = None) -> Change:
-    """Appends; with IGNORE, REPLACE or ON DUPLICATE KEY UPDATE by `keys`. Of new rows that share a key, IGNORE keeps one, REPLACE too."""
+    """Appends; with IGNORE, REPLACE or ON DUPLICATE KEY UPDATE by `keys`.
+
+    Of rows of VALUES that share a key IGNORE keeps the first and REPLACE the
+    last; ON DUPLICATE KEY UPDATE takes them one after the other.  Rows of a
+    query have no order: IGNORE and REPLACE keep any of them, and ON DUPLICATE
+    KEY UPDATE raises when the plan runs.  Keys with a NULL equal nothing.
+    """
     target = spark.table(".".join(tree.table))
-    rows = _rows(spark, tree, target, dialect)
     if not (tree.ignore or tree.replace or tree.on_duplicate):
+        rows = _rows(spark, tree, target, dialect)
         return Change(target.unionByName(rows), rows)
     if not keys:
         raise SqlError("an upsert needs the table's unique key")
+    rows = _rows(spark, tree, target, dialect, ordered=True)
     if tree.ignore:
-        new = rows.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti").select(*target.columns)
+        one, nulls = _by_key(rows, keys, True, False)
+        new = one.join(target.select(*keys), keys, "left_anti").select(*target.columns).unionByName(nulls)
         return Change(target.unionByName(new), new)
     if tree.replace:
-        new = rows.dropDuplicates(keys)
-        return Change(target.join(new.select(*keys), keys, "left_anti").select(*target.columns).unionByName(new), new)
+        one, nulls = _by_key(rows, keys, False, False)
+        new = one.unionByName(nulls)
+        return Change(target.join(one.select(*keys), keys, "left_anti").select(*target.columns).unionByName(new), new)
+    if "_at" in rows.columns:  # a turn for each row that shares its key with earlier ones; VALUES is as long as the statement
+        turns = rows.withColumn("_turn", F.row_number().over(W.partitionBy(*keys).orderBy("_at")))
+        last = turns.agg(F.max("_turn")).first()[0] or 1
+        if last > 1:
+            whole = F.lit(True)
+            for k in keys:
+                whole = whole & F.col(k).isNotNull()
+            turns = turns.withColumn("_turn", F.when(whole, F.col("_turn")).otherwise(1)).drop("_at")
+            change = None
+            for t in range(1, last + 1):
+                now = _upserted(target if change is None else change.table, turns.where(F.col("_turn") == t).drop("_turn"), tree, dialect, keys)
+                change = now if change is None else Change(now.table, change.changed.unionByName(now.changed))
+            return change
+        return _upserted(target, rows.drop("_at"), tree, dialect, keys)
+    one, nulls = _by_key(rows, keys, True, True)
+    return _upserted(target, one.unionByName(nulls), tree, dialect, keys)
+
+
+def _upserted(target: DataFrame, rows: DataFrame, tree: N.Insert, dialect: str, keys: list[str]) -> Change:
+    """ON DUPLICATE KEY UPDATE with rows that share no key."""
     # VALUES(c) and EXCLUDED are the new row.
     old, new = target.alias("t"), rows.alias("s")
     cond = F.lit(True)
@@ -150,14 +204,21 @@ def _materialized(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: numbered rows must not be numbered anew."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{sc.applicationId}")
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
+def _view(df: DataFrame) -> str:
+    """A temporary view of its own: statements may run side by side in one session."""
+    name = f"_dml_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    return name
+
+
 def _update_joined(spark, tree, dialect, first, target, others) -> Change:
     keyed = _materialized(_with_key(target))
-    keyed.createOrReplaceTempView("_dml_target")
-    source = N.walk(tree.source, lambda n: N.Table(("_dml_target",), _alias(first)) if n == first else n)
+    view = _view(keyed)
+    source = N.walk(tree.source, lambda n: N.Table((view,), _alias(first)) if n == first else n)
     items = [N.Item(N.Name((_alias(first), "_row")), "_row")] + [N.Item(a.value, f"_v{i}") for i, a in enumerate(tree.assigns)]
     hits = _select(spark, N.Select(tuple(items), source, tree.where), dialect)
     return _apply(keyed, hits, tree, target)
@@ -165,9 +226,8 @@ def _update_joined(spark, tree, dialect, first, target, others) -> Change:
 
 def _update_by_query(spark, tree, dialect, first, target) -> Change:
     keyed = _materialized(_with_key(target))
-    keyed.createOrReplaceTempView("_dml_target")
     items = [N.Item(N.Name((_alias(first), "_row")), "_row")]
-    source: N.Node = N.Table(("_dml_target",), _alias(first))
+    source: N.Node = N.Table((_view(keyed),), _alias(first))
     for i, a in enumerate(tree.assigns):
         if len(a.columns) == 1:
             items.append(N.Item(a.value, f"_v{i}"))
@@ -175,7 +235,10 @@ def _update_by_query(spark, tree, dialect, first, target) -> Change:
             q = a.value.query
             packed = N.replace(q, items=(N.Item(N.Func(("struct",), tuple(x.expr for x in q.items)), "_s"),))
             if not q.group and q.limit is None:
-                packed = N.replace(packed, items=(N.Item(N.Func(("any_value",), (packed.items[0].expr,)), "_s"),)) if not any(isinstance(n, N.Func) and n.upper in ("MAX", "MIN", "SUM", "COUNT", "AVG") for x in q.items for n in N.every(x.expr)) else packed
+                one = N.Func(("any_value",), (packed.items[0].expr,))
+                several = N.Binary(">", N.Func(("count",), (N.Star(),)), N.Lit("number", "1"))
+                one = N.Case(None, ((several, N.Func(("raise_error",), (N.Lit("string", "a subquery for one row gives several"),))),), one)
+                packed = N.replace(packed, items=(N.Item(one, "_s"),)) if not any(isinstance(n, N.Func) and n.upper in ("MAX", "MIN", "SUM", "COUNT", "AVG") for x in q.items for n in N.every(x.expr)) else packed
             items.append(N.Item(N.Sub(packed), f"_v{i}"))
     hits = _select(spark, N.Select(tuple(items), source, tree.where), dialect)
     return _apply(keyed, hits, tree, target)
@@ -216,8 +279,8 @@ def delete(spark: SparkSession, tree: N.Delete, dialect: str) -> Change:
         own = target.alias(_alias(first))
         return Change(own.where(~hit).select(*target.columns), own.where(hit).select(*target.columns))
     keyed = _materialized(_with_key(target))
-    keyed.createOrReplaceTempView("_dml_target")
-    source = N.walk(tree.source, lambda n: N.Table(("_dml_target",), _alias(first)) if n == first else n)
+    view = _view(keyed)
+    source = N.walk(tree.source, lambda n: N.Table((view,), _alias(first)) if n == first else n)
     hits = _select(spark, N.Select((N.Item(N.Name((_alias(first), "_row")), "_row"),), source, tree.where), dialect).distinct()
     return Change(keyed.join(hits, "_row", "left_anti").select(*target.columns), keyed.join(hits, "_row", "left_semi").select(*target.columns))
 

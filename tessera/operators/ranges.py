@@ -37,7 +37,21 @@ class Range:
         return " AND ".join(parts) or "1 = 1"
 
 
-def key_ranges(low, high, width: int = WIDTH, most: int = 10_000) -> list[Range]:
+#: Ranges of a table at most.
+MOST = 10_000
+
+
+def wide_enough(low, high, width: int = WIDTH, most: int = MOST) -> int:
+    """A width from `width` on that cuts [low, high] into at most `most` ranges numbered by batch_of()."""
+    if low is None or high is None:
+        return width
+    low, high = int(low // 1), int(high // 1)
+    while high // width - low // width >= most:
+        width = max(width + 1, -(-(high - low + 1) // (most - 1)))
+    return width
+
+
+def key_ranges(low, high, width: int = WIDTH, most: int = MOST) -> list[Range]:
     """Ranges over [low, high]; at most `most`, so a sparse key does not give more ranges than a cluster can use. The outer ones are open."""
     if low is None or high is None:
         return [Range(0, None, None)]
@@ -56,6 +70,6 @@ def plan_ranges(df: DataFrame, key: str | None, width: int = WIDTH) -> list[Rang
     return key_ranges(r.a, r.b, width)
 
 
-def batch_of(key, low: int, width: int = WIDTH):
-    """The number of a key's range, as a column: all ranges of a table in one job."""
-    return F.floor((key - low) / width).cast("long")
+def batch_of(key, width: int = WIDTH):
+    """The number of a key's range, counted from key 0 so that it never depends on the other keys, as a column: all ranges of a table in one job."""
+    return F.floor(key / width).cast("long")
