@@ -159,6 +159,7 @@ class Func(Node):
     over: Window | None = None
     filter: Node | None = None
     nulls: str | None = None  # IGNORE, RESPECT
+    keep: str | None = None  # FIRST, LAST: KEEP (DENSE_RANK ... ORDER BY order)
     words: tuple[str, ...] = ()  # key words between arguments: TRIM(BOTH x FROM y), EXTRACT(unit FROM e)
 
     @property
@@ -179,6 +180,22 @@ class Item(Node):
 class Table(Node):
     name: tuple[str, ...]
     alias: str | None = None
+    sample: str = ""  # per cent of the rows
+
+
+@dataclass(frozen=True)
+class JsonColumn(Node):
+    name: str
+    type: TypeName | None
+    path: str | None  # None: the row's number
+
+
+@dataclass(frozen=True)
+class JsonTable(Node):
+    expr: Node
+    path: str
+    columns: tuple[JsonColumn, ...]
+    alias: str | None = None
 
 
 @dataclass(frozen=True)

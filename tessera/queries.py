@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import dialect_queries
 from .dialects import query
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -401,10 +402,10 @@ def _runner(dialect: str, sql: str):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import operator_queries
 
-    return {name: _runner(dialect, sql) for name, (dialect, sql, _) in SQL.items()} | operator_queries.queries()
+    return {name: _runner(dialect, sql) for name, (dialect, sql, _) in (SQL | dialect_queries.SQL).items()} | operator_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     from . import operator_queries
 
-    return {name: twin for name, (_, _, twin) in SQL.items()} | operator_queries.oracle_sql()
+    return {name: twin for name, (_, _, twin) in (SQL | dialect_queries.SQL).items()} | operator_queries.oracle_sql()
