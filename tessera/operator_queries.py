@@ -247,7 +247,7 @@ def list_bucket_default(spark, d):
 
 
 def hash_bucket_counts(spark, d):
-    return _t(spark, d, "orders").groupBy(partitioning.hash_partition(F.col("o_orderkey"), 8).alias("part")).agg(F.count("*").alias("n"))
+    return _t(spark, d, "orders").groupBy(partitioning.hash_partition(F.col("o_orderkey"), 8, modulo=True).alias("part")).agg(F.count("*").alias("n"))
 
 
 def interval_bucket(spark, d):
@@ -345,6 +345,7 @@ def oracle_sql() -> dict[str, str]:
         "ora_merge_conditional": "SELECT n.n_nationkey, n.n_name, CASE WHEN s.r > 0 THEN s.r + 10 ELSE n.n_regionkey END AS n_regionkey FROM nation n LEFT JOIN (SELECT n_nationkey + 12 AS k, n_regionkey AS r FROM nation) s ON n.n_nationkey = s.k WHERE NOT coalesce(s.r = 1, false) UNION ALL SELECT n_nationkey + 12, n_name, NULL FROM nation WHERE n_regionkey < 3 AND n_nationkey + 12 NOT IN (SELECT n_nationkey FROM nation)",
         "range_bucket_counts": "SELECT CASE WHEN p_size < 10 OR p_size IS NULL THEN 'small' WHEN p_size < 30 THEN 'mid' ELSE 'rest' END AS part, count(*) AS n FROM part GROUP BY 1",
         "list_bucket_default": "SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS part, count(*) AS n FROM orders GROUP BY 1",
+        "hash_bucket_counts": "SELECT CAST(o_orderkey % 8 AS INTEGER) AS part, count(*) AS n FROM orders GROUP BY 1",
         "interval_bucket": "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, count(*) AS n FROM orders GROUP BY 1",
         "sql_scalar_fn": "SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))), 2) AS DOUBLE) AS net FROM lineitem",
         "sql_table_fn": "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey = 2",

@@ -25,9 +25,9 @@ def list_partition(c: Column, lists: list[tuple[str, list]], default: str | None
     return out.otherwise(F.lit(default)) if default is not None else out
 
 
-def hash_partition(c: Column, n: int) -> Column:
-    """0 .. n-1; rows are placed by xxhash64, not as the source places them."""
-    return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+def hash_partition(c: Column, n: int, modulo: bool = False) -> Column:
+    """0 .. n-1. modulo: of an integer, as MySQL's PARTITION BY HASH places it; else by xxhash64, not as the source places rows."""
+    return (F.abs(c) % n if modulo else F.pmod(F.xxhash64(c), F.lit(n))).cast("int")
 
 
 def interval_partition(c: Column, unit: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import random
+import threading
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -78,6 +79,7 @@ class Migration:
             self.state.status.setdefault(s.id, "waiting")
         self.on_event = on_event or (lambda step, status: None)
         self.cancelled = False
+        self.lock = threading.Lock()
 
     def path(self, table: str) -> str:
         return os.path.join(self.target, table)
@@ -128,7 +130,9 @@ class Migration:
         return self.progress()
 
     def _set(self, step: Step, status: str) -> None:
-        self.state.status[step.id] = status
+        with self.lock:  # each change is kept, so that a run that dies forgets no finished copy
+            self.state.status[step.id] = status
+            self.state.save()
         self.on_event(step.id, status)
 
     def _attempt(self, step: Step) -> None:
