@@ -400,12 +400,12 @@ def _runner(dialect: str, sql: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import operator_queries, routine_queries, schema_queries
+    from . import introspect_queries, operator_queries, routine_queries, schema_queries
 
-    return {name: _runner(dialect, sql) for name, (dialect, sql, _) in (SQL | dialect_queries.SQL).items()} | operator_queries.queries() | schema_queries.queries() | routine_queries.queries()
+    return {name: _runner(dialect, sql) for name, (dialect, sql, _) in (SQL | dialect_queries.SQL).items()} | operator_queries.queries() | schema_queries.queries() | routine_queries.queries() | introspect_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import operator_queries, routine_queries, schema_queries
+    from . import introspect_queries, operator_queries, routine_queries, schema_queries
 
-    return {name: twin for name, (_, _, twin) in (SQL | dialect_queries.SQL).items()} | operator_queries.oracle_sql() | schema_queries.oracle_sql() | routine_queries.oracle_sql()
+    return {name: twin for name, (_, _, twin) in (SQL | dialect_queries.SQL).items()} | operator_queries.oracle_sql() | schema_queries.oracle_sql() | routine_queries.oracle_sql() | introspect_queries.oracle_sql()

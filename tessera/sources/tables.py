@@ -9,14 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranges import Range, key_ranges
-
-# Schemas that a source's own software owns.
-SYSTEM_SCHEMAS = {
-    "mysql": "information_schema mysql performance_schema sys ndbinfo".split(),
-    "oracle": "SYS SYSTEM OUTLN DBSNMP APPQOSSYS AUDSYS CTXSYS DVSYS GSMADMIN_INTERNAL LBACSYS MDSYS OJVMSYS OLAPSYS ORDDATA ORDSYS WMSYS XDB".split(),
-    "db2": "NULLID SQLJ SYSCAT SYSFUN SYSIBM SYSIBMADM SYSIBMINTERNAL SYSIBMTS SYSPROC SYSPUBLIC SYSSTAT SYSTOOLS".split(),
-}
-
+from .introspect import SYSTEM_SCHEMAS
 
 class Source(Protocol):
     def __call__(self, table: str) -> DataFrame: ...
@@ -80,6 +73,11 @@ class JdbcSource:
         base = {"oracle": "SELECT username AS name FROM all_users WHERE username", "db2": "SELECT TRIM(schemaname) AS name FROM syscat.schemata WHERE TRIM(schemaname)"}.get(self.dialect, "SELECT schema_name AS name FROM information_schema.schemata WHERE schema_name")
         return f"{base} NOT IN ({hidden})"
 
+    def catalog(self, view: str) -> DataFrame:
+        """A catalog view with its column names in lower case, for introspect()."""
+        df = self.reader().option("dbtable", view).load()
+        return df.toDF(*[c.lower() for c in df.columns])
+
     def count_sql(self, table: str) -> str:
         return f"SELECT COUNT(*) AS n FROM {self.qualified(table)}"
 
