@@ -216,6 +216,8 @@ def _view(df: DataFrame) -> str:
 
 
 def _update_joined(spark, tree, dialect, first, target, others) -> Change:
+    if len(others) == 1 and isinstance(tree.source, N.Join) and tree.source.kind in ("INNER", "CROSS") and not (tree.source.using or tree.source.natural):
+        return _update_beside(spark, tree, dialect, first, target, others[0])
     keyed = _materialized(_with_key(target))
     view = _view(keyed)
     source = N.walk(tree.source, lambda n: N.Table((view,), _alias(first)) if n == first else n)
@@ -224,6 +226,21 @@ def _update_joined(spark, tree, dialect, first, target, others) -> Change:
     return _apply(keyed, hits, tree, target)
 
 
+def _update_beside(spark, tree, dialect, first, target, other) -> Change:
+    """With one other table: an outer join to it, of which each row of the target keeps one match. One pass, and nothing is written."""
+    name, beside = _alias(first), _alias(other)
+    marked = N.Derived(N.Select((N.Item(N.Star()), N.Item(N.Lit("number", "1"), "_hit")), other), beside)
+    cond = N.conjunction([c for c in (tree.source.on, tree.where) if c is not None])
+    items = [N.Item(N.Name((name, c)), f"_t{i}") for i, c in enumerate(target.columns)] + [N.Item(N.Name((name, "_row")), "_row"), N.Item(N.Name((beside, "_hit")), "_hit")]
+    items += [N.Item(a.value, f"_v{i}") for i, a in enumerate(tree.assigns)]
+    source = N.Join(N.Table((_view(_with_key(target)),), name), marked, "LEFT", cond if cond is not None else N.Lit("bool", True))
+    met = _select(spark, N.Select(tuple(items), source), dialect).dropDuplicates(["_row"])
+    place = {a.columns[0].parts[-1].lower(): i for i, a in enumerate(tree.assigns)}
+    hit = F.col("_hit").isNotNull()
+    new = [(F.when(hit, F.col(f"_v{place[f.name.lower()]}")).otherwise(F.col(f"_t{i}")) if f.name.lower() in place else F.col(f"_t{i}")).cast(f.dataType).alias(f.name) for i, f in enumerate(target.schema.fields)]
+    return Change(met.select(*new), met.where(hit).select(*new))
+
+
 def _update_by_query(spark, tree, dialect, first, target) -> Change:
     keyed = _materialized(_with_key(target))
     items = [N.Item(N.Name((_alias(first), "_row")), "_row")]
@@ -278,6 +295,9 @@ def delete(spark: SparkSession, tree: N.Delete, dialect: str) -> Change:
         hit = F.coalesce(F.expr(_emit(tree.where, dialect)), F.lit(False))
         own = target.alias(_alias(first))
         return Change(own.where(~hit).select(*target.columns), own.where(hit).select(*target.columns))
+    if len(tables) == 1:  # a condition with subqueries: rows for which it is not true stay
+        own = N.Select((N.Item(N.Star()),), N.Table((_view(target),), _alias(first)))
+        return Change(_select(spark, N.replace(own, where=N.Is(N.Row((tree.where,)), "TRUE", None, True)), dialect), _select(spark, N.replace(own, where=tree.where), dialect))
     keyed = _materialized(_with_key(target))
     view = _view(keyed)
     source = N.walk(tree.source, lambda n: N.Table((view,), _alias(first)) if n == first else n)
@@ -291,11 +311,12 @@ def merge(spark: SparkSession, tree: N.Merge, dialect: str) -> Change:
     target = spark.table(".".join(tree.target.name))
     source = _select(spark, N.Select((N.Item(N.Star()),), tree.source), dialect)
     other = tree.source.alias or tree.source.name[-1]
-    old = _materialized(_with_key(target)).withColumn("_old", F.lit(True)).alias(name)
+    old = _with_key(target).withColumn("_old", F.lit(True)).alias(name)
     new = source.withColumn("_new", F.lit(True)).alias(other)
     on = F.expr(_emit(tree.on, dialect))
     both = old.join(new, on, "full")
-    twice = both.where(f"{name}._old AND {other}._new").groupBy(f"{name}._row").count().where("count > 1")
+    # only the columns that ON reads take part in this, and only rows that match
+    twice = old.join(new, on, "inner").groupBy(f"{name}._row").count().where("count > 1")
     if not twice.isEmpty():
         raise SqlError("MERGE: several source rows match one target row")
     matched = F.col(f"{name}._old").isNotNull() & F.col(f"{other}._new").isNotNull()

@@ -115,3 +115,32 @@ def test_streaming_copy(spark, tmp_path):
     spark.range(10, 15).write.mode("append").parquet(src)
     assert follow(spark, src, out, {"id": "int"}, check) == 5
     assert read_copy(spark, out).count() == 15
+
+
+def test_update_beside_a_table_takes_one_match(spark):
+    from tessera.operators import dml
+
+    spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "n")], "k int, v string").createOrReplaceTempView("ut")
+    spark.createDataFrame([(2, "x"), (2, "x"), (5, "q")], "k int, v string").createOrReplaceTempView("us")
+    change = dml.execute(spark, "UPDATE ut JOIN us ON ut.k = us.k SET ut.v = us.v", "mysql")
+    assert sorted(map(tuple, change.table.collect()), key=repr) == [(1, "a"), (2, "x"), (2, "x"), (None, "n")]
+    assert change.changed.count() == 2
+
+
+def test_delete_by_a_subquery_with_nulls(spark):
+    from tessera.operators import dml
+
+    spark.createDataFrame([(1,), (2,), (None,)], "k int").createOrReplaceTempView("dt")
+    spark.createDataFrame([(1,), (None,)], "k int").createOrReplaceTempView("ds")
+    assert sorted((r.k for r in dml.execute(spark, "DELETE FROM dt WHERE k IN (SELECT k FROM ds)", "mysql").table.collect()), key=repr) == [2, None]
+    assert dml.execute(spark, "DELETE FROM dt WHERE k NOT IN (SELECT k FROM ds)", "mysql").table.count() == 3
+
+
+def test_repeated_keys_of_a_query_are_an_error(spark):
+    from tessera.operators import dml
+
+    spark.createDataFrame([(1, "a")], "k int, v string").createOrReplaceTempView("it")
+    spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string").createOrReplaceTempView("iq")
+    change = dml.execute(spark, "INSERT INTO it SELECT k, v FROM iq ON DUPLICATE KEY UPDATE v = VALUES(v)", "mysql", keys=["k"])
+    with pytest.raises(Exception, match="share a key"):
+        change.table.collect()
