@@ -9,16 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 #: A word everywhere in this subpackage: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one under /tmp where it is unset (tests)."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return told or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
@@ -44,19 +40,34 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+#: Rows that a function in Python sees at a time: Spark's batches hold 10,000, whose texts need not all be objects at once.
+ROWS = 512
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow for a function from one record batch to one record batch (or None)."""
+    """mapInArrow for a function from one record batch to one record batch (or None); it sees ROWS rows at a time."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            for i in range(0, batch.num_rows, ROWS):
+                out = fn(batch.slice(i, ROWS))
                 if out is not None:
                     yield out
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, schema)
 
 
+def arrow_column(fn, kind):
+    """A column function of an Arrow array, ROWS rows at a time; the rest of a row stays in the JVM."""
+
+    def run(column: pa.Array) -> pa.Array:
+        parts = [fn(column.slice(i, ROWS)) for i in range(0, max(len(column), 1), ROWS)]
+        return pa.concat_arrays(parts)
+
+    return F.arrow_udf(run, kind)
+
+
 def in_fold(id_col: str, folds: int):
     """True where crc32(id as text) mod folds is 0; a row without an id is in no such fold."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
@@ -74,6 +85,6 @@ def labelled_ids(labels: DataFrame, columns: list[str], bound: int, id_col: str
     known = known.groupBy(id_col).agg(*[F.max(c).cast("double").alias(c) for c in columns])
     total = known.count()
     if total > bound:
-        share = int(bound / total * 1_000_000)
-        known = known.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share)
+        parts = 1 << 48
+        known = known.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) < bound * parts // total)
     return known
