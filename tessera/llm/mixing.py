@@ -1,13 +1,13 @@
 """Mixing sources to target weights on a low-discrepancy schedule.
 
-The mix has 2^m slots of equal size.  Slot k stands at the van der Corput
-point of k (its bits reversed); the sources' cumulative targets cut the unit
-interval, and the part that holds the point names the slot's source.  So every
-stretch of the schedule holds the sources nearly in proportion, and over all
-slots each source is off its target by one slot at most.  Slots are ranked per
-source.  A source's documents, shuffled by hash, form one stream that is cut
-into equal blocks of tokens; the slot of rank r takes block r, over and over
-(its epochs).
+The mix has 2^m slots.  Slot k stands at the van der Corput point of k (its
+bits reversed); the sources' cumulative targets cut the unit interval, and the
+part that holds the point names the slot's source.  So every stretch of the
+schedule holds the sources nearly in proportion.  Slots are ranked per source,
+in closed form from the bits of k.  A source's documents, shuffled by hash,
+form one stream that is read over and over (its epochs) up to the target and
+cut into as many equal blocks as the source has slots; the slot of rank r takes
+block r.  So each source meets its target to the word, whatever its size.
 """
 
 from __future__ import annotations
@@ -20,26 +20,26 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, stored, texts
 
-#: Tokens of a slot at most.
+#: Tokens of a slot, about.
 BLOCK = 256
 WEIGHTS = (1, 2, 3)
 #: A source is taken so many times at most.
 EPOCHS = 3
-#: Stretches of the schedule, and of a source's stream, that are ranked on their own.
-STRETCHES = 4_096
+#: Words of a stretch of a source's stream, about; each is ranked on its own.
+STRETCH = 1 << 20
 SEED = 20_240_229
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(row, doc_id, source, size): size is the number of words; row numbers are fixed by writing the table."""
+    """(row, doc_id, source, mark, size): size is the number of words, mark a hash of the text; row numbers are fixed by writing the table."""
 
     def fn(batch):
         n = [len(t.split()) for t in texts(batch)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64())], ["doc_id", "source", "size"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("mark"), pa.array(n, pa.int64())], ["doc_id", "source", "mark", "size"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return stored(map_arrow(rows, fn, f"doc_id {kind}, source string, size long").withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    return stored(map_arrow(rows, fn, f"doc_id {kind}, source string, mark long, size long").withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -68,75 +68,115 @@ def reversed_bits(x, bits: int):
     return F.conv(F.reverse(F.lpad(F.bin(x), bits, "0")), 2, 10).cast("long") if bits else F.lit(0).cast("long")
 
 
-def _rank(rows: DataFrame, stretch, order: list, amount, name: str) -> DataFrame:
-    """rows with `name`: the sum of `amount` over the rows of the same sid before it. Sums per stretch come first, so no source fills a task."""
-    rows = rows.withColumn("_stretch", stretch)
-    sums = rows.groupBy("sid", "_stretch").agg(F.sum(amount).alias("_sum"))
-    past = F.coalesce(F.sum("_sum").over(W.partitionBy("sid").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    past = sums.select(F.col("sid").alias("_sid"), F.col("_stretch").alias("_of"), past.alias("_past"))
-    inside = F.coalesce(F.sum(amount).over(W.partitionBy("sid", "_stretch").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_inside", inside).join(past, (F.col("sid") == F.col("_sid")) & (F.col("_stretch") == F.col("_of")))
-    return rows.withColumn(name, F.col("_past") + F.col("_inside")).drop("_sid", "_of", "_past", "_inside", "_stretch")
+def slot_bits(total: int) -> int:
+    """m: the schedule has 2^m slots for so many words."""
+    return max(0, int(np.ceil(np.log2(max(1.0, total / BLOCK)))))
+
+
+def rank_of(slot, low, high, bits: int):
+    """How many slots before `slot` stand in [low, high) of the reversed numbers; all columns.
+
+    Each bit of the slot that is set stands for a run of smaller slots with the
+    higher bits the same, a 0 there and any lower bits: reversed, an arithmetic
+    sequence, whose members in [low, high) can be counted.
+    """
+
+    power = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
+
+    def step(sofar, b):
+        stride, most = power(F.lit(bits) - b), power(b)
+        offset = F.col("_at").bitwiseAND(power(F.lit(bits) - b - 1) - 1)  # the higher bits, reversed
+        upto = lambda x: F.greatest(F.lit(0).cast("long"), F.least(most, F.ceil((x - offset) / stride)))
+        return F.when(slot.bitwiseAND(most) != 0, sofar + upto(high) - upto(low)).otherwise(sofar)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), step) if bits else F.lit(0).cast("long")
 
 
 def schedule(sources: DataFrame, total: int) -> DataFrame:
-    """(slot, sid, rank, block, epoch): the slots in use, one row each. sources: targets(), stored."""
-    bits = max(0, int(np.ceil(np.log2(max(1.0, total / BLOCK)))))
+    """(slot, sid, rank, slots, words): one row a slot in use; slots: how many its source has, words: what they take together.
+
+    A source whose part of the interval holds no point gets the slot at the
+    part's start, beside the source that the slot has.  sources: targets().
+    """
+    bits = slot_bits(total)
     n = 1 << bits
     edge = F.sum("target").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0)) / F.lit(float(max(total, 1))) * n
-    cut = sources.withColumn("hi", F.least(F.ceil(edge - 1e-6), F.lit(n))).withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy("sid")), F.lit(0)))
-    cut = cut.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("source_size") / (F.lit(float(max(total, 1))) / n)).cast("long"))).where("hi > lo and source_size > 0")
+    cut = sources.withColumn("edge", edge).withColumn("before", F.coalesce(F.lag("edge").over(W.orderBy("sid")), F.lit(0.0)))
+    point = lambda e: F.least(F.ceil(e - 1e-6), F.lit(n)).cast("long")
+    cut = cut.withColumn("words", F.round("target").cast("long")).where("words > 0")
+    cut = cut.select("sid", "words", point(F.col("before")).alias("lo"), point(F.col("edge")).alias("hi"))
+    cut = cut.withColumn("lo", F.when(F.col("lo") < F.col("hi"), F.col("lo")).otherwise(F.least(F.col("lo"), F.lit(n - 1))))
+    cut = cut.withColumn("hi", F.greatest(F.col("hi"), F.col("lo") + 1)).withColumn("slots", F.col("hi") - F.col("lo"))
     run = 1_024
-    rows = cut.select("sid", "blocks", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / run), F.floor((F.col("hi") - 1) / run))).alias("run"))
-    rows = rows.repartition("sid", "run").select("sid", "blocks", F.explode(F.sequence(F.greatest(F.col("lo"), F.col("run") * run), F.least(F.col("hi"), (F.col("run") + 1) * run) - 1)).alias("at"))
-    rows = rows.select("sid", "blocks", reversed_bits(F.col("at"), bits).alias("slot"))
-    width = max(1, n // STRETCHES)
-    rows = _rank(rows, F.floor(F.col("slot") / width), ["slot"], F.lit(1), "rank")
-    rows = rows.where(F.col("rank") < F.col("blocks") * EPOCHS)
-    return rows.select("slot", "sid", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("epoch"))
+    rows = cut.select("*", F.explode(F.sequence(F.floor(F.col("lo") / run), F.floor((F.col("hi") - 1) / run))).alias("run"))
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, as a few runs would else be put into one task
+    rows = rows.repartition(parts, "sid", "run").select("sid", "words", "slots", "lo", "hi", F.explode(F.sequence(F.greatest(F.col("lo"), F.col("run") * run), F.least(F.col("hi"), (F.col("run") + 1) * run) - 1)).alias("_at"))
+    rows = rows.withColumn("slot", reversed_bits(F.col("_at"), bits))
+    return rows.select("slot", "sid", rank_of(F.col("slot"), F.col("lo"), F.col("hi"), bits).alias("rank"), "slots", "words")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken), one row a document: the words of it that the mix takes, repeats counted.
+def _starts(rows: DataFrame, stretches: int) -> DataFrame:
+    """rows with `start`: the words of the same source before each in the order of `draw`. Sums per stretch come first, so no source fills a task."""
+    rows = rows.withColumn("_stretch", F.shiftrightunsigned("draw", 64 - (stretches.bit_length() - 1)) if stretches > 1 else F.lit(0).cast("long"))
+    sums = rows.groupBy("sid", "_stretch").agg(F.sum("size").alias("_sum"))
+    past = F.coalesce(F.sum("_sum").over(W.partitionBy("sid").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    past = sums.select(F.col("sid").alias("_sid"), F.col("_stretch").alias("_of"), past.alias("_past"))
+    inside = F.coalesce(F.sum("size").over(W.partitionBy("sid", "_stretch").orderBy("draw", "row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_inside", inside).join(past.hint("merge"), (F.col("sid") == F.col("_sid")) & (F.col("_stretch") == F.col("_of")))
+    return rows.withColumn("start", F.col("_past") + F.col("_inside")).drop("_sid", "_of", "_past", "_inside", "_stretch")
 
-    A null or empty text has no words and is not taken.  A null source is a
-    source.  Reruns over the same rows agree; repeated rows are rows of their
-    own.
-    """
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, mark, size, source_size, target, taken), one row a document."""
     sizes = sized(docs, id_col, text_col, source_col)
     sources = stored(targets(sizes), "mix-sources")
     total = int(sources.agg(F.sum("source_size")).first()[0] or 0)
-    plan = stored(schedule(sources, total), "mix-schedule")
-    visits = plan.groupBy("sid", "block").count().select(F.col("sid").alias("s"), F.col("block").alias("b"), F.col("count").alias("visits"))
+    plan = stored(schedule(sources, total), "mix-schedule").select(F.col("sid").alias("s"), F.col("rank").alias("r"))
 
+    n = 1 << slot_bits(total)
     names = sources.select(F.col("source").alias("name"), "sid", "source_size", "target")
-    rows = sizes.join(names, sizes.source.eqNullSafe(names.name)).drop("name", "source")
-    draw = F.xxhash64(F.lit(SEED), "doc_id", "size")  # row numbers, which the split of files may change, settle ties alone
+    rows = sizes.join(names, sizes.source.eqNullSafe(names.name)).drop("name")
+    slots = plan.groupBy("s").count().select(F.col("s").alias("of"), F.col("count").alias("slots"))  # one row a source
+    draw = F.xxhash64(F.lit(SEED), "doc_id", "mark", "size")  # row numbers, which the split of files may change, settle ties alone
     filled = rows.where("size > 0").withColumn("draw", draw)
-    filled = _rank(filled, F.shiftrightunsigned("draw", 64 - STRETCHES.bit_length() + 1), ["draw", "row"], F.col("size"), "start")
-    n = 1 << max(0, int(np.ceil(np.log2(max(1.0, total / BLOCK)))))
+    filled = _starts(filled, 1 << max(0, int(np.ceil(np.log2(max(1.0, total / STRETCH))))))
+    filled = filled.join(slots, F.col("sid") == F.col("of")).withColumn("words", F.round("target").cast("long"))
+    # each reading of a document that begins before the target, and of that the blocks that it meets
+    turns = filled.select("row", "sid", "size", "slots", "words", F.explode(F.transform(F.sequence(F.lit(0), F.lit(EPOCHS - 1)), lambda e: F.col("start") + e * F.col("source_size"))).alias("start")).where("start < words")
     wide = lambda c: c.cast("decimal(38,0)")
-    blocks = F.greatest(F.lit(1), F.round(F.col("source_size") / (F.lit(float(max(total, 1))) / n)).cast("long"))
-    filled = filled.withColumn("blocks", blocks)
-    block_of = lambda t: F.floor((wide(t + 1) * wide(F.col("blocks")) - 1) / wide(F.col("source_size"))).cast("long")
-    edge_of = lambda j: F.floor(wide(j) * wide(F.col("source_size")) / wide(F.col("blocks"))).cast("long")
-    end = F.col("start") + F.col("size")
-    parts = filled.select("row", "sid", "start", "size", "blocks", "source_size", F.explode(F.sequence(block_of(F.col("start")), block_of(end - 1))).alias("block"))
-    parts = parts.select("row", "sid", "block", (F.least(end, edge_of(F.col("block") + 1)) - F.greatest(F.col("start"), edge_of(F.col("block")))).alias("words"))
-    taken = parts.join(visits, (F.col("sid") == F.col("s")) & (F.col("block") == F.col("b"))).groupBy(F.col("row").alias("of")).agg(F.sum(F.col("words") * F.col("visits")).alias("taken"))
-    got = rows.join(taken, rows.row == taken.of, "left")
-    return got.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    block_of = lambda t: F.floor((wide(t + 1) * wide(F.col("slots")) - 1) / wide(F.col("words"))).cast("long")
+    edge_of = lambda j: F.floor(wide(j) * wide(F.col("words")) / wide(F.col("slots"))).cast("long")
+    end = F.least(F.col("start") + F.col("size"), F.col("words"))
+    parts = turns.select("*", F.explode(F.sequence(block_of(F.col("start")), block_of(end - 1))).alias("block"))
+    parts = parts.select("row", "sid", "block", (F.least(end, edge_of(F.col("block") + 1)) - F.greatest(F.col("start"), edge_of(F.col("block")))).alias("part"))
+    # Spark takes exploded rows for few and would send them to all: both sides grow with the corpus
+    taken = parts.join(plan.hint("merge"), (F.col("sid") == F.col("s")) & (F.col("block") == F.col("r"))).groupBy(F.col("row").alias("of")).agg(F.sum("part").alias("taken"))
+    got = rows.join(taken.hint("merge"), rows.row == taken.of, "left")
+    return got.select("doc_id", "source", "mark", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, taken), one row a document: the words of it that the mix takes, repeats counted.
+
+    The taken words of a source are its target, to the nearest whole.  A null
+    or empty text has no words and is not taken.  A null source is a source.
+    Reruns over the same rows agree; repeated rows are rows of their own.
+    """
+    return _mixed(docs, id_col, text_col, source_col).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix as documents: each as often as its taken words fill it (to the nearest whole), columns as they were.
+    """The mix as documents: each as often as its taken words fill it, columns as they were.
 
-    A document that the mix leaves out goes; one without words goes too.  Rows
-    that share an id are drawn by the largest of their shares.
+    The target ends inside one document of each source, which is taken to the
+    nearest whole; all others are taken whole, so a source is off its target by
+    half a document at most.  A document that the mix leaves out goes; one
+    without words goes too.  Rows with the same id, text and source are drawn
+    alike, by the mean of their shares to the nearest whole.
     """
-    share = mixed(docs, id_col, text_col, source_col).where("size > 0")
-    copies = share.groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("copies")).where("copies > 0")
-    copies = stored(copies.select(F.col("doc_id").alias("mix_id"), F.col("copies").alias("mix_copies")), "mix-copies")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"))
-    got = rows.join(copies, F.col("id").eqNullSafe(F.col("mix_id")))
+    share = _mixed(docs, id_col, text_col, source_col).where("size > 0")
+    copies = share.groupBy("doc_id", "mark", "source").agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).alias("copies")).where("copies > 0")
+    copies = stored(copies.select(F.col("doc_id").alias("mix_id"), F.col("mark").alias("mix_mark"), F.col("source").alias("mix_source"), F.col("copies").alias("mix_copies")), "mix-copies")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(source_col).cast("string").alias("source"))
+    got = rows.join(copies.hint("merge"), (F.col("mark") == F.col("mix_mark")) & F.col("id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")))
     return got.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select("row.*")
