@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, stored, texts
+from .common import arrow_column, stored
 
 ALPHA, DELTA = 0.02, 0.05
 #: Share of good documents that each level may cost on the proposing half, over all rules; the mildest first.
@@ -87,6 +87,25 @@ def measure(text: bytes) -> tuple[list[int], list[float]]:
     return [n, chars, symbols, dup, again], ratios
 
 
+#: What measured() adds.
+MEASURES = T.StructType([*(T.StructField(c, T.LongType()) for c in _COUNTS), T.StructField("bins", T.ArrayType(T.IntegerType())), T.StructField("base_failed", T.BooleanType())])
+
+
+def _measure_column(text):
+    """MEASURES of a text column: the texts alone go to Python, the rest of a row stays in the JVM."""
+
+    def fn(column):
+        got = [measure(t or b"") for t in column.cast(pa.binary()).to_pylist()]
+        counts = np.array([g[0] for g in got], np.int64).reshape(len(got), len(_COUNTS))
+        bins = np.floor(np.sqrt(np.array([g[1] for g in got]).reshape(len(got), len(RATIOS))) * BINS).astype(np.int32)
+        n, again = counts[:, 0], counts[:, 4]
+        failed = (n < 50) | (100 * again > 50 * n)
+        cols = [*[pa.array(counts[:, k]) for k in range(len(_COUNTS))], pa.array(list(bins), pa.list_(pa.int32())), pa.array(failed)]
+        return pa.StructArray.from_arrays(cols, names=MEASURES.names)
+
+    return arrow_column(fn, MEASURES)(text)
+
+
 def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(row, stratum, counts of _COUNTS (long), bins (array of int, one a ratio), base_failed); `row` is the row of docs.
 
@@ -95,21 +114,8 @@ def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     all rows are one stratum.
     """
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), lang.cast("string").alias("stratum"))
-
-    def fn(batch):
-        got = [measure(t) for t in texts(batch)]
-        counts = np.array([g[0] for g in got], np.int64)
-        bins = np.floor(np.sqrt(np.array([g[1] for g in got])) * BINS).astype(np.int32)
-        n, again = counts[:, 0], counts[:, 4]
-        failed = (n < 50) | (100 * again > 50 * n)
-        cols = [batch.column("row"), batch.column("stratum"), *[pa.array(counts[:, k]) for k in range(5)], pa.array(list(bins), pa.list_(pa.int32())), pa.array(failed)]
-        return pa.RecordBatch.from_arrays(cols, ["row", "stratum", *_COUNTS, "bins", "base_failed"])
-
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("stratum", T.StringType())])
-    for c in _COUNTS:
-        schema = schema.add(c, "long")
-    return map_arrow(rows, fn, schema.add("bins", T.ArrayType(T.IntegerType())).add("base_failed", "boolean"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), lang.cast("string").alias("stratum"), _measure_column(F.col(text_col)).alias("m"))
+    return rows.select("row", "stratum", "m.*")
 
 
 def betainc(a: float, b: float, x: float) -> float:
@@ -241,7 +247,6 @@ def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents that rules() keeps, columns as they were."""
-    rows = measured(docs, text_col, lang_col)
-    small = stored(rows.select(F.col(f"row.{id_col}").alias(id_col), "stratum", "bins", "base_failed"), "rules-measured")
-    cutoffs = learn(small, labels, id_col)
+    rows = stored(measured(docs, text_col, lang_col), "rules-measured")  # each text is measured once
+    cutoffs = learn(rows.select(F.col(f"row.{id_col}").alias(id_col), "stratum", "bins", "base_failed"), labels, id_col)
     return rows.where(verdict(cutoffs)).select("row.*")
