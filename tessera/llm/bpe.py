@@ -4,7 +4,9 @@ A token is held as one character, its id plus 256, so a sequence of tokens is
 a string and a pair of tokens a string of two.  The rank map, a literal, sends
 a pair to the token that it merges to; ids are ranks, so the least result is
 the pair to merge first.  A fold over the bytes of a word replaces that pair,
-left to right, until no pair is in the map.
+left to right, until no pair is in the map.  A fold takes as many steps over as
+many pairs, so a word of more than LONG bytes (a blob, a run of spaces) is
+merged with a heap when its tokens are gathered, by the same pairs.
 
 Texts are split by the pattern in the JVM.  A task gathers some millions of
 words, numbers the distinct ones and has only those folded; the texts, as word
@@ -15,6 +17,7 @@ shuffled.  Decoding concatenates the tokens' binary pieces.
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 
 import numpy as np
@@ -30,9 +33,12 @@ _OFF = 256
 BUCKETS = 1 << 15
 #: Words that a task gathers before their distinct ones are folded, and distinct words in a row on the way to the fold.
 GATHER, ROW = 6_000_000, 512
-#: Texts whose words are numbered at a time, and texts in an Arrow batch at most (split into words they are many times as large).
-STEP, BATCH = 500, 500
-_DONE = "\x01"
+#: Words of a text in a row at most, so that an Arrow batch is small however long the texts; rows whose words are numbered at a time.
+PIECE, STEP = 32, 10_000
+#: Words of more bytes are merged with a heap.
+LONG = 128
+#: Marks of a token string: all merges done; none done.
+_DONE, _RAW = "\x01", "\x02"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,6 +63,30 @@ def merge_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
+def merged(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    """ids with all merges of `pairs` done, the least result first and of equal ones the leftmost, in time n log n."""
+    n = len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    ids = list(ids)
+    heap = [(c, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (c := pairs.get((a, b))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        c, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] != a or j >= n or ids[j] != b:
+            continue
+        ids[i], ids[j] = c, -1
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            if (d := pairs.get((c, ids[k]))) is not None:
+                heapq.heappush(heap, (d, i, c, ids[k]))
+        h = before[i]
+        if h >= 0 and (d := pairs.get((ids[h], c))) is not None:
+            heapq.heappush(heap, (d, h, ids[h], c))
+    return [x for x in ids if x >= 0]
+
+
 def _bucket(s: str) -> int:
     h = xxhash.xxh64_intdigest(s.encode(), 42)
     return (h - (1 << 64) if h >> 63 else h) % BUCKETS
@@ -70,7 +100,8 @@ class ByteBPE:
             raise ValueError("ids must fit below the surrogates")
         self.ranks, self.pattern = ranks, pattern
         buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
-        for (a, b), c in merge_pairs(ranks).items():
+        self.pairs = merge_pairs(ranks)
+        for (a, b), c in self.pairs.items():
             pair = chr(a + _OFF) + chr(b + _OFF)
             buckets[_bucket(pair)][pair] = chr(c + _OFF)
         self.rank_map = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
@@ -82,7 +113,7 @@ class ByteBPE:
         return F.regexp_extract_all(text, F.lit(f"(?U){self.pattern}"), F.lit(0))
 
     def encode_words(self, words):
-        """An array of words as an array of token strings."""
+        """An array of words as an array of token strings; a word of more than LONG bytes as its bytes' tokens after a mark."""
 
         def let(x, f):
             return F.element_at(F.transform(F.array(x), f), 1)
@@ -102,7 +133,8 @@ class ByteBPE:
 
             def encode(word):
                 raw = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), self.raw, self.first)
-                return let(raw, lambda r: F.aggregate(F.sequence(F.lit(1), F.length(r)), r, step, lambda t: F.replace(t, F.lit(_DONE), F.lit(""))))
+                fold = lambda r: F.aggregate(F.sequence(F.lit(1), F.length(r)), r, step, lambda t: F.replace(t, F.lit(_DONE), F.lit("")))
+                return let(raw, lambda r: F.when(F.length(r) > LONG, F.concat(F.lit(_RAW), r)).otherwise(fold(r)))
 
             return F.transform(words, encode)
 
@@ -126,13 +158,13 @@ def encoded(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str
     as they are, in the order of the input.
     """
     kind = docs.schema[id_col].dataType
-    conf = docs.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))  # of the session: it is read when the plan runs
-    words = docs.select(F.col(id_col).alias("doc_id"), bpe.split(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
+    words = docs.select(F.col(id_col).alias("doc_id"), bpe.split(F.coalesce(F.col(text_col), F.lit(""))).alias("all"))
+    places = F.sequence(F.lit(1), F.greatest(F.size("all"), F.lit(1)), F.lit(PIECE))
+    words = words.select("doc_id", "all", F.explode(places).alias("at"))  # the pieces of a text stay together, in order
+    words = words.select("doc_id", F.slice("all", F.col("at"), PIECE).alias("words"), (F.col("at") + PIECE > F.size("all")).alias("last"))
 
     def number(batches):
-        """Rows of distinct words first, then the texts as numbers of words; again for each GATHER words."""
+        """Rows of distinct words first, then the pieces of texts as numbers of words (2, and 3 for a text's last); again for each GATHER words."""
         strings = pa.list_(pa.string())
 
         def out(held):
@@ -145,11 +177,11 @@ def encoded(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str
                 n = len(at) - 1
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, held[0][0].type), pa.array([fresh] + [0] * (n - 1), pa.int32()), pa.nulls(n, pa.binary()), pa.ListArray.from_arrays(pa.array(at), distinct).cast(strings)], ["doc_id", "fresh", "index", "words"])
                 fresh = 0
-            for (ids, ends, _), chunk in zip(held, numbered.chunks):
+            for (ids, ends, _, last), chunk in zip(held, numbered.chunks):
                 index = chunk.indices.to_numpy().astype("<i4", copy=False)
                 parts = [index[a:b].tobytes() for a, b in zip(np.r_[0, ends], ends)]
                 n = len(parts)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([2] * n, pa.int32()), pa.array(parts, pa.binary()), pa.nulls(n, strings)], ["doc_id", "fresh", "index", "words"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(2 + last.astype(np.int32)), pa.array(parts, pa.binary()), pa.nulls(n, strings)], ["doc_id", "fresh", "index", "words"])
 
         held, size = [], 0
         for b in batches:
@@ -157,7 +189,7 @@ def encoded(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str
                 part = b.slice(i, STEP)
                 words = part.column("words")
                 numbers = pc.list_flatten(words).dictionary_encode()
-                held.append((pa.concat_arrays([part.column("doc_id")]), np.cumsum(pc.list_value_length(words).to_numpy()), numbers))
+                held.append((pa.concat_arrays([part.column("doc_id")]), np.cumsum(pc.list_value_length(words).to_numpy()), numbers, part.column("last").to_numpy(zero_copy_only=False)))
                 size += len(numbers)
                 del part, words, numbers
                 if size >= GATHER:
@@ -166,26 +198,35 @@ def encoded(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str
             del b
         if held:
             yield from out(held)
+        del held
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fresh", T.IntegerType()), T.StructField("index", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
     folded = words.mapInArrow(number, schema).select("doc_id", "fresh", "index", F.when(F.col("fresh") < 2, bpe.encode_words(F.col("words"))).alias("tokens"))
-    ranks = docs.sparkSession.sparkContext.broadcast(bpe.ranks) if decode else None  # the vocabulary
+    ranks, pairs = (docs.sparkSession.sparkContext.broadcast(x) for x in (bpe.ranks if decode else None, bpe.pairs))  # the vocabulary
 
     def gather(batches):
         pieces = Pieces(ranks.value) if decode else None
+
+        def whole(tokens):
+            if not tokens.startswith(_RAW):
+                return tokens
+            return "".join(chr(x + _OFF) for x in merged([ord(x) - _OFF for x in tokens[1:]], pairs.value))
+
         parts: list[str] = []
         table = None
         names = ["doc_id", "n_tokens", "ids"] + ["decoded"] * decode
+        begun: list[np.ndarray] = []  # the pieces so far of a text
         for b in batches:
             ids, fresh = b.column("doc_id"), b.column("fresh").to_numpy()
-            is_doc = fresh == 2
+            is_doc = fresh >= 2
             cuts = np.flatnonzero(np.r_[True, is_doc[1:] != is_doc[:-1], True]) if b.num_rows else np.zeros(0, int)
             for s, e in zip(cuts, cuts[1:]):
                 if not is_doc[s]:
                     if table is not None:
                         parts, table = [], None
                     for row in b.column("tokens").slice(s, e - s).to_pylist():
-                        parts += row
+                        parts += map(whole, row)
                     continue
                 if table is None:
                     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
@@ -193,16 +234,20 @@ def encoded(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str
                     parts = []
                 all_ids, ends = table
                 n, out, text = [], [], []
-                for index in b.column("index").slice(s, e - s).to_pylist():
+                for index, state in zip(b.column("index").slice(s, e - s).to_pylist(), fresh[s:e].tolist()):
                     w = np.frombuffer(index, "<i4")
                     size = ends[w + 1] - ends[w]
                     total = int(size.sum())
-                    got = all_ids[np.repeat(ends[w] - np.r_[0, np.cumsum(size)[:-1]][: len(w)], size) + np.arange(total)]
-                    n.append(total)
+                    begun.append(all_ids[np.repeat(ends[w] - np.r_[0, np.cumsum(size)[:-1]][: len(w)], size) + np.arange(total)])
+                    if state == 2:
+                        continue
+                    got = begun[0] if len(begun) == 1 else np.concatenate(begun)
+                    begun = []
+                    n.append(len(got))
                     out.append(got.astype("<u4").tobytes())
                     if decode:
                         text.append(pieces.decode(got))
-                cols = [ids.slice(s, e - s), pa.array(n, pa.int64()), pa.array(out, pa.binary())] + [pa.array(text, pa.binary())] * decode
+                cols = [ids.slice(s, e - s).filter(pa.array(fresh[s:e] == 3)), pa.array(n, pa.int64()), pa.array(out, pa.binary())] + [pa.array(text, pa.binary())] * decode
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     final = T.StructType([T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])

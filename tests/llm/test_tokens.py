@@ -63,6 +63,20 @@ def test_bytes_encode_and_decode(docs):
     assert sorted(bytes(r.decoded) for r in tokens) == sorted((t or "").encode() for _, t in rows)
 
 
+def test_long_words(spark):
+    """Words far beyond the fold: blobs of letters, digits and spaces, encoded as the library does."""
+    import tiktoken
+
+    b = byte_bpe()
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=b.ranks, special_tokens={})
+    rng = random.Random(9)
+    blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(20_000))
+    rows = [blob, blob[:127], blob[:128], blob[:129], "a" * 20_000, " " * 5_000 + "x", "the" * 700, "日本" * 900, "x " + blob[5_000:9_000] + " y"]
+    got = {r.doc_id: r for r in bpe.encoded(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), b, decode=True).collect()}
+    for i, t in enumerate(rows):
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == enc.encode_ordinary(t) and bytes(got[i].decoded) == t.encode()
+
+
 def test_small_gathers_number_words_anew(docs, monkeypatch):
     monkeypatch.setattr(bpe, "GATHER", 50)
     monkeypatch.setattr(bpe, "ROW", 7)
