@@ -1,19 +1,21 @@
 """Document fingerprints: Merkle trees over paragraphs and sections.
 
-Leaves are slices of SLICE code points of a paragraph (a line), so that every
-character is in one leaf.  A paragraph's digest is that of its leaves; a
-section is a run of paragraphs that ends where a paragraph's digest says so,
-so that an insertion moves no later border; the root digests the sections.
-Equal roots mean equal texts.  Where roots differ, only branches that differ
-are followed, down to the leaves, which locates the edits.
-
-A fingerprint is the root's digest and, after a colon, the leaves' short
-digests: ``.`` ends a paragraph and ``/`` a section.
+Leaves are runs of words of a paragraph (a line) that end where a word's hash
+says so, so every character is in one leaf and an insertion moves no later
+border.  A paragraph's digest is that of its leaves; a section is a run of
+paragraphs that ends where a paragraph's digest says so; the root digests the
+sections.  Equal roots mean equal texts.  Where roots differ, only branches
+that differ are followed, down to the leaves, which tells how alike two texts
+are and locates the edits.
+
+A fingerprint is the root's digest and, after a colon, the tree: each leaf as
+its short digest and its length; ``.`` ends a paragraph and ``/`` a section.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -22,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE = 64
+#: One word in so many ends a leaf; code points of a leaf at most.
+LEAF, LONGEST = 8, 256
 #: One paragraph in so many ends a section.
 SECTION = 8
-_SHORT = 6
+#: Hexadecimal digits of a leaf in a fingerprint: of its digest, and of its length less one.
+_SHORT, _SIZE = 6, 2
 
 
 def _digest(data: bytes) -> bytes:
@@ -34,17 +38,41 @@ def _digest(data: bytes) -> bytes:
 
 @dataclass
 class Tree:
-    """root; for each section its digest and paragraphs; for each paragraph its digest and leaves."""
+    """root; for each section its digest and paragraphs; for each paragraph its digest and leaves (digest and code points)."""
 
     root: bytes
-    sections: list[tuple[bytes, list[tuple[bytes, list[bytes]]]]]
+    sections: list[tuple[bytes, list[tuple[bytes, list[tuple[bytes, int]]]]]]
 
     @property
-    def leaves(self) -> list[bytes]:
+    def leaves(self) -> list[tuple[bytes, int]]:
         return [x for _, paragraphs in self.sections for _, leaves in paragraphs for x in leaves]
 
     def __str__(self) -> str:
-        return self.root.hex() + ":" + "/".join(".".join("".join(x.hex()[:_SHORT] for x in leaves) for _, leaves in ps) for _, ps in self.sections)
+        return self.root.hex() + ":" + "/".join(".".join("".join(f"{x.hex()[:_SHORT]}{n - 1:02x}" for x, n in leaves) for _, leaves in ps) for _, ps in self.sections)
+
+
+def cut(line: str) -> list[str]:
+    """The leaves of a paragraph; an empty one has none."""
+    words = line.split(" ")
+    last = len(words) - 1
+    ends = [zlib.crc32(w.encode()) % LEAF == 0 for w in words]
+    out, start, at = [], 0, 0
+    for i, w in enumerate(words):
+        size = len(w) + (i < last)
+        if at + size - start > LONGEST:  # too long: cut before the word, and a long word in itself
+            if at > start:
+                out.append(line[start:at])
+                start = at
+            while at + size - start > LONGEST:
+                out.append(line[start : start + LONGEST])
+                start += LONGEST
+        at += size
+        if ends[i] and at > start:
+            out.append(line[start:at])
+            start = at
+    if at > start:
+        out.append(line[start:at])
+    return out
 
 
 def tree(text: str) -> Tree:
@@ -52,8 +80,8 @@ def tree(text: str) -> Tree:
     sections, run = [], []
     blake = hashlib.blake2b
     for line in text.split("\n"):
-        leaves = [blake(line[i : i + SLICE].encode(), digest_size=16).digest() for i in range(0, len(line), SLICE)]
-        own = _digest(b"p" + b"".join(leaves))
+        leaves = [(blake(x.encode(), digest_size=16).digest(), len(x)) for x in cut(line)]
+        own = _digest(b"p" + b"".join(x for x, _ in leaves))
         run.append((own, leaves))
         if own[0] % SECTION == 0:
             sections.append((_digest(b"s" + b"".join(p for p, _ in run)), run))
@@ -63,17 +91,39 @@ def tree(text: str) -> Tree:
     return Tree(_digest(b"r" + b"".join(s for s, _ in sections)), sections)
 
 
+def _split(branches: list[str], level: int) -> list[str]:
+    """The children of branches: of sections their paragraphs, of paragraphs their leaves."""
+    if level == 0:
+        return [p for s in branches for p in s.split(".")]
+    width = _SHORT + _SIZE
+    return [p[i : i + width] for p in branches for i in range(0, len(p), width)]
+
+
+def _points(branch: str) -> int:
+    """Code points under a branch."""
+    width = _SHORT + _SIZE
+    return sum(int(p[i + _SHORT : i + width], 16) + 1 for p in branch.split(".") for i in range(0, len(p), width))
+
+
 def likeness(a: str, b: str) -> float:
-    """Shared leaves of two fingerprints, as a share of all (Dice, repeats counted): 1 for equal roots, else below 1."""
+    """Code points that two trees share, as a share of all (Dice, repeats counted): 1 for equal roots, else below 1.
+
+    Sections that both have are shared whole; of the others the paragraphs are
+    compared, and of those that differ the leaves.
+    """
     root_a, _, rest_a = a.partition(":")
     root_b, _, rest_b = b.partition(":")
     if root_a == root_b:
         return 1.0
-    cut = lambda s: Counter(p[i : i + _SHORT] for p in s.replace("/", ".").split(".") for i in range(0, len(p), _SHORT))
-    x, y = cut(rest_a), cut(rest_b)
-    n = x.total() + y.total()
-    small, large = (x, y) if len(x) < len(y) else (y, x)
-    shared = sum(min(c, large[k]) for k, c in small.items() if k in large)
+    x, y = rest_a.split("/"), rest_b.split("/")
+    shared = 0
+    for level in range(3):
+        own, other = Counter(x), Counter(y)
+        both = own & other
+        shared += sum(n * _points(branch) for branch, n in both.items())
+        if level < 2:
+            x, y = _split(list((own - both).elements()), level), _split(list((other - both).elements()), level)
+    n = sum(map(_points, rest_a.split("/"))) + sum(map(_points, rest_b.split("/")))
     return min(2 * shared / n, 1 - 1 / (n + 1)) if n else 0.0
 
 
@@ -99,6 +149,32 @@ def edits(a: str, b: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def spans(a: str, b: str) -> list[tuple[int, int, int, int]]:
+    """Where texts a and b differ, in code points: (from, to) in a and in b of each differing run of leaves."""
+    from difflib import SequenceMatcher
+
+    lines_a, lines_b = a.split("\n"), b.split("\n")
+    starts_a, starts_b = [0], [0]
+    for starts, lines in ((starts_a, lines_a), (starts_b, lines_b)):
+        for x in lines:
+            starts.append(starts[-1] + len(x) + 1)
+    out = []
+    for i, j, k, m in edits(a, b):
+        if j - i == m - k:
+            for p, q in zip(range(i, j), range(k, m)):
+                x, y = cut(lines_a[p]), cut(lines_b[q])
+                at_x, at_y = [starts_a[p]], [starts_b[q]]
+                for at, leaves in ((at_x, x), (at_y, y)):
+                    for leaf in leaves:
+                        at.append(at[-1] + len(leaf))
+                for what, s, e, u, v in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+                    if what != "equal":
+                        out.append((at_x[s], at_x[e], at_y[u], at_y[v]))
+        else:
+            out.append((min(starts_a[i], len(a)), min(starts_a[j], len(a)), min(starts_b[k], len(b)), min(starts_b[m], len(b))))
+    return out
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint) for every row; null counts as empty."""
     kind = docs.schema[id_col].dataType
