@@ -73,10 +73,18 @@ def _op2_sql() -> str:
     """The archive's columns; base 32 takes five hexadecimal digits at a time."""
     digit = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({v} >> {s}) & 31), 1)"
     parts = [digit.format(v=f"CAST('0x' || substr(h, {i + 1}, 5) AS INTEGER)", s=s) for i in range(0, 40, 5) for s in (15, 10, 5, 0)]
+    sha1 = " || ".join(parts)
+    end = "chr(13) || chr(10)"
+    url = r"coalesce(nullif(trim(regexp_replace(url, '\\s+', ' ', 'g')), ''), 'about:blank')"
+    lines = ["'WARC/1.1'", "'WARC-Type: ' || kind", "'WARC-Record-ID: <urn:page:' || page_id || '>'", "'WARC-Date: 1970-01-01T00:00:00Z'", f"'WARC-Target-URI: ' || {url}", "'WARC-Payload-Digest: sha1:' || digest"]
+    revisit = ["'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest'", "'WARC-Refers-To: <urn:page:' || first || '>'"]
+    ends = ["'Content-Type: application/octet-stream'", "'Content-Length: ' || CASE kind WHEN 'revisit' THEN 0 ELSE strlen(t) END"]
+    head = f" || {end} || ".join(lines) + f" || {end} || CASE kind WHEN 'revisit' THEN " + f" || {end} || ".join(revisit) + f" || {end} ELSE '' END || " + f" || {end} || ".join(ends)
     return (
-        "WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages) "
-        f"SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {' || '.join(parts)} AS payload_digest, "
-        "CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM p"
+        "WITH p AS (SELECT page_id, url, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages), "
+        f"q AS (SELECT *, {sha1} AS digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS kind FROM p) "
+        "SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, digest AS payload_digest, kind AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, "
+        f"sha256({head} || {end} || {end} || CASE kind WHEN 'revisit' THEN '' ELSE t END || {end} || {end}) AS record_sha256 FROM q"
     )
 
 

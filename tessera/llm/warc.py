@@ -120,19 +120,26 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     heads = spark.read.parquet(f"{path}/records")
     held = verified_payloads(spark, path).withColumnRenamed("digest", "held_digest")
     field = lambda name: F.regexp_extract(F.decode("header", "UTF-8"), rf"\r\n{name}: ([^\r]*)", 1)
-    rows = heads.join(held, (heads.digest == held.held_digest) & (heads["size"] == held.payload_bytes))
-    kind = field("WARC-Type")
-    whole = F.concat("header", F.when(kind == "response", F.col("payload")).otherwise(F.lit(b"")), F.lit(b"\r\n\r\n"))
-    return rows.select("page_id", "header", "payload", "payload_bytes", "payload_digest", kind.alias("record_type"), F.nullif(F.regexp_extract(field("WARC-Refers-To"), rf"<{_URN}(.*)>", 1), F.lit("")).alias("refers_to"), whole.alias("record"))
+    there = F.when(F.col("held_digest").isNull(), F.raise_error(F.lit("a record's payload is missing")).cast("long")).otherwise(F.col("payload_bytes"))
+    refers = F.nullif(F.regexp_extract(field("WARC-Refers-To"), rf"<{_URN}(.*)>", 1), F.lit(""))
+    out = None
+    for kind, block in (("response", F.col("payload")), ("revisit", F.lit(b""))):  # apart, as a revisit's record needs no payload's bytes
+        own = heads.where(field("WARC-Type") == kind)
+        rows = own.join(held, (own.digest == held.held_digest) & (own["size"] == held.payload_bytes), "left")
+        rows = rows.select("page_id", "header", "payload", there.alias("payload_bytes"), "payload_digest", F.lit(kind).alias("record_type"), refers.alias("refers_to"), F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", path: str | None = None) -> DataFrame:
     """Writes an archive of pages (by default in the shared folder), reads it back and returns one row a page.
 
-    (page_id, payload_bytes, payload_digest, record_type, refers_to)
+    (page_id, payload_bytes, payload_digest, record_type, refers_to,
+    record_sha256): the last is of the exact record, put together again from
+    its header and its payload.
     """
     spark = pages.sparkSession
     path = path or scratch(spark, "warc-archive")
     write_archive(pages, path, id_col, url_col, html_col)
     kind = pages.schema[id_col].dataType.simpleString()
-    return records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), F.sha2("record", 256).alias("record_sha256"))
