@@ -18,23 +18,41 @@ the scoring tasks; all other tokens of a document meet their counts in a join.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, map_arrow, stored, texts
+from .common import ROWS, in_fold, map_arrow, stored, texts
 
 #: A text ends with this token; no word can equal it.
 END = b"\n"
 FOLDS = 10
-CLASSES, MEMBERS = 32, 32
-SLOTS = CLASSES * MEMBERS
-#: Buckets of the previous token, of the one before it, and of their pairs.
-NEAR, SKIP, PAIR = 256, 64, 4_096
+
+
+class Size(NamedTuple):
+    """The model's size, which the counts of history buckets and the weights sent to the tasks have too; README gives what it buys."""
+
+    classes: int = 32
+    members: int = 32
+    #: Buckets of the previous token, of the one before it, and of their pairs.
+    near: int = 256
+    skip: int = 64
+    pair: int = 4_096
+
+    @property
+    def slots(self) -> int:
+        return self.classes * self.members
+
+
+SIZE = Size()
+CLASSES, MEMBERS, NEAR, SKIP, PAIR = SIZE
+SLOTS = SIZE.slots
 ROUNDS, PRIOR = 12, 2.0
 SMOOTH = 0.1
 #: Words sent to the scoring tasks at most; longer ones than LONG_WORD bytes never are.
@@ -51,7 +69,7 @@ def tokens(text: bytes) -> list[bytes]:
     return out
 
 
-def _codes(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _codes(docs: list[list[bytes]], size: Size) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(slot, near bucket, skip bucket, tokens per text) of the tokens of several texts; before a text stand two zeros."""
     crc, at = zlib.crc32, []
     lengths = np.array([len(d) for d in docs])
@@ -61,14 +79,14 @@ def _codes(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     h = np.array(at, np.int64)
     first = np.repeat(np.cumsum(lengths + 2) - lengths, lengths)
     place = first + np.arange(len(first)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return h[place] % SLOTS, (h[place - 1] >> 10) % NEAR, (h[place - 2] >> 18) % SKIP, lengths
+    return h[place] % size.slots, (h[place - 1] >> 10) % size.near, (h[place - 2] >> 18) % size.skip, lengths
 
 
-def _pair(near, skip):
-    return (near * 40_503 + skip * 9_973) % PAIR
+def _pair(near, skip, size: Size):
+    return (near * 40_503 + skip * 9_973) % size.pair
 
 
-def gathered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def gathered(docs: DataFrame, size: Size = SIZE) -> tuple[DataFrame, DataFrame]:
     """(words: word, n), (counts: near, classes, slots) of the training texts in a column `text`.
 
     `classes` holds counts for each skip bucket and class, `slots` for each slot.
@@ -76,7 +94,7 @@ def gathered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def fn(batches):
         words: Counter[bytes] = Counter()
-        classes, slots = np.zeros((NEAR, SKIP, CLASSES), np.int64), np.zeros((NEAR, SLOTS), np.int64)
+        classes, slots = np.zeros((size.near, size.skip, size.classes), np.int64), np.zeros((size.near, size.slots), np.int64)
         some = False
 
         def out():
@@ -84,28 +102,32 @@ def gathered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(list(words.keys()), pa.binary()), pa.array(list(words.values()), pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], ["near", "word", "n", "classes", "slots"])
 
         def count(docs):
-            slot, near, skip, _ = _codes(docs)
-            np.add.at(classes.reshape(-1), (near * SKIP + skip) * CLASSES + slot // MEMBERS, 1)
-            np.add.at(slots.reshape(-1), near * SLOTS + slot, 1)
-
-        for batch in batches:
-            some, held, size = True, [], 0
-            for t in texts(batch):
-                held.append(tokens(t))
-                words.update(held[-1])
-                size += len(held[-1])
-                if size >= _CHUNK:
+            slot, near, skip, _ = _codes(docs, size)
+            np.add.at(classes.reshape(-1), (near * size.skip + skip) * size.classes + slot // size.members, 1)
+            np.add.at(slots.reshape(-1), near * size.slots + slot, 1)
+
+        for whole in batches:
+            some = some or whole.num_rows > 0
+            for i in range(0, whole.num_rows, ROWS):
+                held, n = [], 0
+                for t in texts(whole.slice(i, ROWS)):
+                    held.append(tokens(t))
+                    words.update(held[-1])
+                    n += len(held[-1])
+                    if n >= _CHUNK:
+                        count(held)
+                        held, n = [], 0
+                if held:
                     count(held)
-                    held, size = [], 0
-            if held:
-                count(held)
-            if len(words) >= FLUSH:
-                yield out()
-                words.clear()
+                if len(words) >= FLUSH:
+                    yield out()
+                    words.clear()
         if some:
             yield out()
-            blobs = [[x[k].astype(np.int64).tobytes() for k in range(NEAR)] for x in (classes, slots)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(NEAR), pa.int32()), pa.nulls(NEAR, pa.binary()), pa.nulls(NEAR, pa.int64()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], ["near", "word", "n", "classes", "slots"])
+            words.clear()
+            blobs = [[x[k].tobytes() for k in range(size.near)] for x in (classes, slots)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(size.near), pa.int32()), pa.nulls(size.near, pa.binary()), pa.nulls(size.near, pa.int64()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], ["near", "word", "n", "classes", "slots"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     rows = stored(docs.select("text").mapInArrow(fn, "near int, word binary, n long, classes binary, slots binary"), "maxent-gathered")
     words = stored(rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "maxent-words")
@@ -119,8 +141,12 @@ def gathered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x[0].tobytes() for x in sums.values()], pa.binary()), pa.array([x[1].tobytes() for x in sums.values()], pa.binary())], ["near", "classes", "slots"])
 
-    parts = rows.where("word is null").select("near", "classes", "slots")
-    counts = stored(parts.repartition(NEAR // 8, "near").mapInArrow(add, "near int, classes binary, slots binary"), "maxent-counts")
+    # Each task over the texts gives one row a near bucket, so sums are taken in two steps: over groups of those tasks, then over groups.
+    parts = rows.where("word is null").select("near", "classes", "slots").withColumn("of", F.spark_partition_id())
+    groups = max(1, math.isqrt(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    kinds = "near int, classes binary, slots binary"
+    first = parts.repartition(min(size.near, 32) * groups, "near", F.col("of") % groups).select("near", "classes", "slots").mapInArrow(add, kinds)
+    counts = stored(first.repartition(min(size.near, 32), "near").mapInArrow(add, kinds), "maxent-counts")
     return words, counts
 
 
@@ -130,37 +156,39 @@ def _softmax_log(x: np.ndarray) -> np.ndarray:
 
 
 class Weights:
-    """The model's weights; all of fixed size."""
+    """The model's weights, as many as its size says."""
 
-    def __init__(self):
-        self.bias = np.zeros(CLASSES)
-        self.near, self.skip, self.pair = np.zeros((NEAR, CLASSES)), np.zeros((SKIP, CLASSES)), np.zeros((PAIR, CLASSES))
-        self.member, self.near_member = np.zeros(SLOTS), np.zeros((NEAR, SLOTS))
+    def __init__(self, size: Size = SIZE):
+        self.size = size
+        self.bias = np.zeros(size.classes)
+        self.near, self.skip, self.pair = np.zeros((size.near, size.classes)), np.zeros((size.skip, size.classes)), np.zeros((size.pair, size.classes))
+        self.member, self.near_member = np.zeros(size.slots), np.zeros((size.near, size.slots))
 
     def class_log(self, near: int) -> np.ndarray:
         """log P(class | history) for each skip bucket."""
-        return _softmax_log(self.bias + self.near[near] + self.skip + self.pair[_pair(near, np.arange(SKIP))])
+        return _softmax_log(self.bias + self.near[near] + self.skip + self.pair[_pair(near, np.arange(self.size.skip), self.size)])
 
     def member_log(self, near: int) -> np.ndarray:
         """log P(slot | class, history) for each slot."""
-        return _softmax_log((self.member + self.near_member[near]).reshape(CLASSES, MEMBERS)).reshape(-1)
+        return _softmax_log((self.member + self.near_member[near]).reshape(self.size.classes, self.size.members)).reshape(-1)
 
 
 def _moments(w: Weights, near: int, classes: np.ndarray, slots: np.ndarray):
     """Expected counts under the model for one near bucket, like `classes` and `slots`."""
+    shape = w.size.classes, w.size.members
     expect = np.exp(w.class_log(near)) * classes.sum(1, keepdims=True)
-    inside = slots.reshape(CLASSES, MEMBERS).sum(1, keepdims=True)
-    return expect, (np.exp(w.member_log(near)).reshape(CLASSES, MEMBERS) * inside).reshape(-1)
+    inside = slots.reshape(shape).sum(1, keepdims=True)
+    return expect, (np.exp(w.member_log(near)).reshape(shape) * inside).reshape(-1)
 
 
-def trained(counts: DataFrame, rounds: int = ROUNDS) -> Weights:
+def trained(counts: DataFrame, rounds: int = ROUNDS, size: Size = SIZE) -> Weights:
     """Gradient updates on the log-likelihood: tasks add up the counts of each feature that the model expects, the driver
     takes scaled steps toward those seen.
 
     A round sends the driver each near bucket's own features once and the shared ones once a task, whatever the corpus:
     5 MB for 8 tasks.
     """
-    w = Weights()
+    w = Weights(size)
     shared, own = ("bias", "skip", "pair", "member"), ("near", "near_member")
     counts = counts.coalesce(8)
 
@@ -168,15 +196,15 @@ def trained(counts: DataFrame, rounds: int = ROUNDS) -> Weights:
         """Sums of each feature over the counts seen, or over those expected under w."""
 
         def fn(batches):
-            sums, rows = Weights(), []
+            sums, rows = Weights(size), []
             for b in batches:
                 for near, c, s in zip(*(b.column(k).to_pylist() for k in ("near", "classes", "slots"))):
-                    c, s = np.frombuffer(c, np.int64).reshape(SKIP, CLASSES), np.frombuffer(s, np.int64)
+                    c, s = np.frombuffer(c, np.int64).reshape(size.skip, size.classes), np.frombuffer(s, np.int64)
                     if expected:
                         c, s = _moments(w, near, c, s)
                     sums.bias += c.sum(0)
                     sums.skip += c
-                    np.add.at(sums.pair, _pair(near, np.arange(SKIP)), c)
+                    np.add.at(sums.pair, _pair(near, np.arange(size.skip), size), c)
                     sums.member += s
                     rows += [("near", near, c.sum(0)), ("near_member", near, s)]
             if rows:
@@ -202,7 +230,7 @@ def trained(counts: DataFrame, rounds: int = ROUNDS) -> Weights:
     return w
 
 
-def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: Size = SIZE) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row a document.
 
     Learns from documents outside fold 0 of FOLDS by crc32 of the id; a row
@@ -211,12 +239,12 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     count as often.  An empty table gives an empty one.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), in_fold(id_col, FOLDS).alias("held_out"))
-    words, counts = gathered(own.where("not held_out"))
-    weights = trained(counts)
-    slot_of = F.pmod(F.crc32("word"), F.lit(SLOTS)).cast("int")
-    per_slot = words.groupBy(slot_of.alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # SLOTS rows at most
+    words, counts = gathered(own.where("not held_out"), size)
+    weights = trained(counts, size=size)
+    slot_of = F.pmod(F.crc32("word"), F.lit(size.slots)).cast("int")
+    per_slot = words.groupBy(slot_of.alias("slot")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row a slot at most
     total, distinct = sum(r.n for r in per_slot), sum(r.v for r in per_slot)
-    below = np.full(SLOTS, SMOOTH)
+    below = np.full(size.slots, SMOOTH)
     for r in per_slot:
         below[r.slot] = r.n + SMOOTH * (r.v + 1)
     base_below = float(np.log10(total + SMOOTH * (distinct + 1)))
@@ -230,44 +258,48 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     hot = words.where(F.length("word") <= LONG_WORD).where(F.floor(F.log2("n") * 4) >= (least if least is not None else 1 << 40)).toArrow()  # HOT_WORDS rows at most
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(dict(zip(hot.column("word").to_pylist(), np.log10(hot.column("n").to_numpy() + SMOOTH).tolist())))
-    class_log = np.array([weights.class_log(k) for k in range(NEAR)], np.float32) / np.float32(np.log(10))
-    member_log = (np.array([weights.member_log(k) for k in range(NEAR)]) / np.log(10) - np.log10(below)).astype(np.float32)
+    class_log = np.array([weights.class_log(k) for k in range(size.near)], np.float32) / np.float32(np.log(10))
+    member_log = (np.array([weights.member_log(k) for k in range(size.near)]) / np.log(10) - np.log10(below)).astype(np.float32)
     model = spark.sparkContext.broadcast((class_log, member_log))
 
     def fn(batch):
         get = known.value.get
         class_log, member_log = model.value
-        n_tokens, n_hot, logs, rare, fixed = [], [], [], [], []
+        n_tokens, n_hot, logs, fixed = [], [], [], []
+        rare_words: list[bytes] = []
+        rare_n: list[int] = []
+        ends = [0]
 
         def score(held):
-            slot, near, skip, lengths = _codes(held)
-            each = class_log[near, skip, slot // MEMBERS].astype(float) + member_log[near, slot]
+            slot, near, skip, lengths = _codes(held, size)
+            each = class_log[near, skip, slot // size.members].astype(float) + member_log[near, slot]
             fixed.extend(np.add.reduceat(each, np.cumsum(lengths) - lengths).tolist())
 
-        held, size = [], 0
+        held, waiting = [], 0
         for t in texts(batch):
             toks = tokens(t)
             held.append(toks)
-            size += len(toks)
-            total, hot, other = 0.0, 0, []
+            waiting += len(toks)
+            total, hot = 0.0, 0
             for w, n in Counter(toks).items():
                 v = get(w)
                 if v is None:
-                    other.append({"word": w, "n": n})
+                    rare_words.append(w)
+                    rare_n.append(n)
                 else:
                     total += v * n
                     hot += n
+            ends.append(len(rare_n))
             n_tokens.append(len(toks))
             n_hot.append(hot)
             logs.append(total)
-            rare.append(other)
-            if size >= _CHUNK:
+            if waiting >= _CHUNK:
                 score(held)
-                held, size = [], 0
+                held, waiting = [], 0
         if held:
             score(held)
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-        cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_hot, pa.int64()), pa.array(logs, pa.float64()), pa.array(fixed, pa.float64()), pa.array(rare, kind)]
+        rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_n, pa.int64())], names=["word", "n"]))
+        cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_hot, pa.int64()), pa.array(logs, pa.float64()), pa.array(fixed, pa.float64()), rare]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_hot", "logs", "fixed", "rare"])
 
     kind = own.schema["doc_id"].dataType.simpleString()
