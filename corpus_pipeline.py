@@ -4,28 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, mixing, overlap, quality_rules, toxicity
+from tessera.llm import bpe, mixing, quality_rules, simhash, toxicity
 from tessera.llm.common import stored, table
 from tessera.llm.queries import byte_bpe
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the risk-controlled rules keep."""
+    """Documents that the risk-controlled rules keep. A null or empty text has no words and goes; labels of rows that are not in docs count for nothing."""
     return quality_rules.passing(docs, table(spark, sf_dir, "labels"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not call toxic."""
+    """Documents that the classifier chain does not call toxic. Without labels of both classes nobody is called so."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    return overlap.deduplicated(docs)
+    """One document of each group linked by 5-word shingles at a similarity of 0.8: the one with the smallest id; a row without an id only
+    where no row of its group has one. Rows that repeat an id with another text are documents of their own."""
+    return simhash.without_similar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, to the nearest whole; a null source is a source."""
     return mixing.drawn(docs)
 
 
@@ -34,7 +35,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, byte_bpe())
 
 
-STAGES = [("quality rules", quality), ("toxicity", clean), ("near-duplicates", distinct), ("mix", mix), ("byte-level BPE", encode)]
+#: Each takes any columns beside those of documents, under any names, and an empty table gives an empty one.
+STAGES = [("quality rules", quality), ("toxicity", clean), ("SimHash near-duplicates", distinct), ("mix", mix), ("byte-level BPE", encode)]
 
 #: Fits and link search are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
