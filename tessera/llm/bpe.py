@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 _OFF = 256
 #: Buckets of the rank map; a lookup scans one bucket.
 BUCKETS = 1 << 15
@@ -199,7 +201,7 @@ def encoded(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str
         if held:
             yield from out(held)
         del held
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        tidy()
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fresh", T.IntegerType()), T.StructField("index", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
     folded = words.mapInArrow(number, schema).select("doc_id", "fresh", "index", F.when(F.col("fresh") < 2, bpe.encode_words(F.col("words"))).alias("tokens"))
@@ -249,6 +251,8 @@ def encoded(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str
                         text.append(pieces.decode(got))
                 cols = [ids.slice(s, e - s).filter(pa.array(fresh[s:e] == 3)), pa.array(n, pa.int64()), pa.array(out, pa.binary())] + [pa.array(text, pa.binary())] * decode
                 yield pa.RecordBatch.from_arrays(cols, names)
+        del parts, table
+        tidy()
 
     final = T.StructType([T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     return folded.mapInArrow(gather, final.add("decoded", "binary") if decode else final)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 
@@ -44,6 +46,15 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 ROWS = 512
 
 
+def tidy() -> None:
+    """Gives memory that is free in this worker back to the machine: workers outlive their tasks and stand beside the JVM in an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library alone
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow for a function from one record batch to one record batch (or None); it sees ROWS rows at a time."""
 
@@ -53,7 +64,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
                 out = fn(batch.slice(i, ROWS))
                 if out is not None:
                     yield out
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        tidy()
 
     return df.mapInArrow(run, schema)
 
@@ -63,7 +74,10 @@ def arrow_column(fn, kind):
 
     def run(column: pa.Array) -> pa.Array:
         parts = [fn(column.slice(i, ROWS)) for i in range(0, max(len(column), 1), ROWS)]
-        return pa.concat_arrays(parts)
+        whole = pa.concat_arrays(parts)
+        del parts
+        tidy()
+        return whole
 
     return F.arrow_udf(run, kind)
 

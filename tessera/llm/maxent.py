@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS, in_fold, map_arrow, stored, texts
+from .common import ROWS, in_fold, map_arrow, stored, texts, tidy
 
 #: A text ends with this token; no word can equal it.
 END = b"\n"
@@ -127,7 +127,7 @@ def gathered(docs: DataFrame, size: Size = SIZE) -> tuple[DataFrame, DataFrame]:
             words.clear()
             blobs = [[x[k].tobytes() for k in range(size.near)] for x in (classes, slots)]
             yield pa.RecordBatch.from_arrays([pa.array(range(size.near), pa.int32()), pa.nulls(size.near, pa.binary()), pa.nulls(size.near, pa.int64()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], ["near", "word", "n", "classes", "slots"])
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        tidy()
 
     rows = stored(docs.select("text").mapInArrow(fn, "near int, word binary, n long, classes binary, slots binary"), "maxent-gathered")
     words = stored(rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "maxent-words")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored, texts
+from .common import map_arrow, stored, texts, tidy
 
 SEED = 42
 SHINGLE = 3
@@ -211,7 +211,7 @@ def _met(words: list[str], most: int):
                 a, b = local_links(fps, seg[many], most)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
-        pa.default_memory_pool().release_unused()
+        tidy()
 
     return fn
 
@@ -430,6 +430,7 @@ def _alike(batches):
         if links:
             a, b = zip(*links)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    tidy()
 
 
 def _alike_in(node, known, fps, hashes) -> list[tuple[int, int]]:
