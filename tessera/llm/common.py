@@ -102,3 +102,22 @@ def labelled_ids(labels: DataFrame, columns: list[str], bound: int, id_col: str
         parts = 1 << 48
         known = known.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) < bound * parts // total)
     return known
+
+
+def joined_by_weight(rows: DataFrame, values: DataFrame, keys: list[str], weight: str, total: int, shares: int = 1000) -> DataFrame:
+    """Inner join of rows with one row of values a key (null equals null), where no key fills a task.
+
+    `weight` says how many of the `total` rows hold the key.  Keys held by at
+    least one row in `shares` are at most `shares` (for each value of a key
+    column that rows are exploded over), so these are broadcast and their rows
+    stay where they are; all others meet in a shuffled join.
+    """
+    heavy = F.col(weight) * shares >= total
+    slim = [F.col(k).alias(f"_{k}") for k in keys]
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    rest = [c for c in values.columns if c not in (*keys, weight)]
+    hot = F.broadcast(values.where(heavy).select(*slim, *rest))
+    cold = values.where(~heavy).select(*slim, *rest).hint("shuffle_merge")
+    near = rows.join(hot, same)
+    far = rows.join(hot.select(*[f"_{k}" for k in keys]), same, "left_anti").join(cold, same)
+    return near.unionByName(far).drop(*[f"_{k}" for k in keys])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, maxent, merkle, mixing, quality_rules, ranker, simhash, token_counts, toxicity, warc
+from . import bpe, conversations, maxent, merkle, mixing, quality_rules, ranker, simhash, token_counts, toxicity, twins, vector_codes, warc
 from .common import table
 
 
@@ -65,8 +65,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_digests(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_lm_scoring, op4_token_counts, op5_quality_rules, op6_simhash, op7_mixing, op8_byte_bpe, op9_quality_classifier, op10_fingerprints)}
+    ops = (
+        op1_toxicity, op2_warc, op3_lm_scoring, op4_token_counts, op5_quality_rules, op6_simhash, op7_mixing, op8_byte_bpe, op9_quality_classifier, op10_fingerprints,
+        op11_vector_codes, op12_conversation_repair,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def _op2_sql() -> str:
@@ -89,5 +101,5 @@ def _op2_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL says all of op2. The others need hashes, models or vocabularies that SQL lacks; tests hold them against brute force."""
-    return {"op2_warc": _op2_sql()}
+    """SQL says all of op2, op11 and op12. The others need hashes, models or vocabularies that SQL lacks; tests hold them against brute force."""
+    return {"op2_warc": _op2_sql(), "op11_vector_codes": twins.op11_sql(), "op12_conversation_repair": twins.op12_sql()}
