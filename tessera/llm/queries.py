@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, maxent, merkle, mixing, quality_rules, ranker, simhash, token_counts, toxicity, twins, vector_codes, warc
+from . import bpe, conversations, maxent, merkle, mixing, pii, quality_rules, ranker, simhash, token_counts, toxicity, twins, vector_codes, warc
 from .common import table
 
 
@@ -73,10 +73,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired_digests(table(spark, sf_dir, "conversations"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_toxicity, op2_warc, op3_lm_scoring, op4_token_counts, op5_quality_rules, op6_simhash, op7_mixing, op8_byte_bpe, op9_quality_classifier, op10_fingerprints,
-        op11_vector_codes, op12_conversation_repair,
+        op11_vector_codes, op12_conversation_repair, op13_pii,
     )
     return {f.__name__: f for f in ops}
 
