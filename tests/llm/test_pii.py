@@ -57,7 +57,7 @@ def test_base_spans_equal_plain_expressions(spark):
 
 def test_long_texts(spark):
     """Long runs of each pattern's characters, and a text of many thousands of spans."""
-    texts = ["a@" + "b." * 60000 + "c", "1" * 100000, "1 " * 60000, "1." * 60000, "+1" + "-" * 100000, "x@y.zz 10.0.0.1 " * 6000, "at dot " * 20000]
+    texts = ["a@" + "b." * 60000 + "c", "1" * 20000, "1 " * 60000, "1." * 60000, "+1" + "-" * 100000, "x@y.zz 10.0.0.1 " * 6000, "at dot " * 20000]
     texts += ["a." * 60000 + "@", "word " * 10 + "b" * 100000]  # no spans; Python's own expression takes a square of their length
     got = found(spark, texts)
     for i, text in enumerate(texts):
