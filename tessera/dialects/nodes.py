@@ -74,6 +74,15 @@ class Like(Node):
     negated: bool = False
 
 
+@dataclass(frozen=True)
+class Match(Node):
+    """MATCH (columns) AGAINST (text): a condition, or the rank of a row."""
+
+    columns: tuple[Name, ...]
+    text: Node
+    boolean: bool = False
+
+
 @dataclass(frozen=True)
 class Is(Node):
     arg: Node
@@ -368,6 +377,21 @@ def walk(node, fn):
     return turn(node)
 
 
+def children(x, fn):
+    """A node with fn applied to its direct children."""
+
+    def turn(v):
+        if isinstance(v, tuple):
+            return tuple(map(turn, v))
+        return fn(v) if is_dataclass(v) else v
+
+    if isinstance(x, tuple):
+        return tuple(map(fn, x))
+    if not is_dataclass(x):
+        return x
+    return replace(x, **{f.name: turn(getattr(x, f.name)) for f in fields(x)})
+
+
 def every(node):
     """All nodes of a tree, parents first."""
     if isinstance(node, tuple):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import dialect_queries
 from .dialects import query
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
 
 #: name: (dialect, SQL of the dialect, SQL of DuckDB)
 SQL: dict[str, tuple[str, str, str]] = {
@@ -400,12 +400,12 @@ def _runner(dialect: str, sql: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import introspect_queries, operator_queries, routine_queries, schema_queries
+    from . import introspect_queries, operator_queries, routine_queries, schema_queries, search_queries
 
-    return {name: _runner(dialect, sql) for name, (dialect, sql, _) in (SQL | dialect_queries.SQL).items()} | operator_queries.queries() | schema_queries.queries() | routine_queries.queries() | introspect_queries.queries()
+    return {name: _runner(dialect, sql) for name, (dialect, sql, _) in (SQL | dialect_queries.SQL).items()} | operator_queries.queries() | schema_queries.queries() | routine_queries.queries() | introspect_queries.queries() | search_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import introspect_queries, operator_queries, routine_queries, schema_queries
+    from . import introspect_queries, operator_queries, routine_queries, schema_queries, search_queries
 
-    return {name: twin for name, (_, _, twin) in (SQL | dialect_queries.SQL).items()} | operator_queries.oracle_sql() | schema_queries.oracle_sql() | routine_queries.oracle_sql() | introspect_queries.oracle_sql()
+    return {name: twin for name, (_, _, twin) in (SQL | dialect_queries.SQL).items()} | operator_queries.oracle_sql() | schema_queries.oracle_sql() | routine_queries.oracle_sql() | introspect_queries.oracle_sql() | search_queries.oracle_sql()
