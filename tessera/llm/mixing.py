@@ -7,7 +7,9 @@ schedule holds the sources nearly in proportion.  Slots are ranked per source,
 in closed form from the bits of k.  A source's documents, shuffled by hash,
 form one stream that is read over and over (its epochs) up to the target and
 cut into as many equal blocks as the source has slots; the slot of rank r takes
-block r.  So each source meets its target to the word, whatever its size.
+block r.  So each source meets its target to the word, whatever its size, and
+the slots say where in the mix each block stands: the first k of n slots hold
+k/n of every target but for a few blocks (the discrepancy of the points).
 """
 
 from __future__ import annotations
@@ -126,14 +128,13 @@ def _starts(rows: DataFrame, stretches: int) -> DataFrame:
     return rows.withColumn("start", F.col("_past") + F.col("_inside")).drop("_sid", "_of", "_past", "_inside", "_stretch")
 
 
-def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(doc_id, source, mark, size, source_size, target, taken), one row a document."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows: one a document with its source's target; parts: row, turn, block, slot, part, one for each slot that a document stands in)."""
     sizes = sized(docs, id_col, text_col, source_col)
     sources = stored(targets(sizes), "mix-sources")
     total = int(sources.agg(F.sum("source_size")).first()[0] or 0)
-    plan = stored(schedule(sources, total), "mix-schedule").select(F.col("sid").alias("s"), F.col("rank").alias("r"))
+    plan = stored(schedule(sources, total), "mix-schedule").select(F.col("sid").alias("s"), F.col("rank").alias("r"), "slot")
 
-    n = 1 << slot_bits(total)
     names = sources.select(F.col("source").alias("name"), "sid", "source_size", "target")
     rows = sizes.join(names, sizes.source.eqNullSafe(names.name)).drop("name")
     slots = plan.groupBy("s").count().select(F.col("s").alias("of"), F.col("count").alias("slots"))  # one row a source
@@ -142,41 +143,66 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     filled = _starts(filled, 1 << max(0, int(np.ceil(np.log2(max(1.0, total / STRETCH))))))
     filled = filled.join(slots, F.col("sid") == F.col("of")).withColumn("words", F.round("target").cast("long"))
     # each reading of a document that begins before the target, and of that the blocks that it meets
-    turns = filled.select("row", "sid", "size", "slots", "words", F.explode(F.transform(F.sequence(F.lit(0), F.lit(EPOCHS - 1)), lambda e: F.col("start") + e * F.col("source_size"))).alias("start")).where("start < words")
+    readings = F.transform(F.sequence(F.lit(0), F.lit(EPOCHS - 1)), lambda e: F.col("start") + e * F.col("source_size"))
+    turns = filled.select("row", "sid", "size", "slots", "words", F.posexplode(readings).alias("turn", "start")).where("start < words")
     wide = lambda c: c.cast("decimal(38,0)")
     block_of = lambda t: F.floor((wide(t + 1) * wide(F.col("slots")) - 1) / wide(F.col("words"))).cast("long")
     edge_of = lambda j: F.floor(wide(j) * wide(F.col("words")) / wide(F.col("slots"))).cast("long")
     end = F.least(F.col("start") + F.col("size"), F.col("words"))
     parts = turns.select("*", F.explode(F.sequence(block_of(F.col("start")), block_of(end - 1))).alias("block"))
-    parts = parts.select("row", "sid", "block", (F.least(end, edge_of(F.col("block") + 1)) - F.greatest(F.col("start"), edge_of(F.col("block")))).alias("part"))
+    parts = parts.select("row", "sid", "turn", "block", (F.least(end, edge_of(F.col("block") + 1)) - F.greatest(F.col("start"), edge_of(F.col("block")))).alias("part"))
     # Spark takes exploded rows for few and would send them to all: both sides grow with the corpus
-    taken = parts.join(plan.hint("merge"), (F.col("sid") == F.col("s")) & (F.col("block") == F.col("r"))).groupBy(F.col("row").alias("of")).agg(F.sum("part").alias("taken"))
+    return rows, parts.join(plan.hint("merge"), (F.col("sid") == F.col("s")) & (F.col("block") == F.col("r"))).drop("s", "r", "sid")
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, mark, size, source_size, target, taken, first_slot, n_slots, turns), one row a document; turns: the slot that each reading of it begins in."""
+    rows, parts = _placed(docs, id_col, text_col, source_col)
+    begun = [F.min(F.when(F.col("turn") == e, F.struct("block", "slot")))["slot"] for e in range(EPOCHS)]
+    taken = parts.groupBy(F.col("row").alias("of")).agg(
+        F.sum("part").alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"), F.array_compact(F.array(*begun)).alias("turns")
+    )
     got = rows.join(taken.hint("merge"), rows.row == taken.of, "left")
-    return got.select("doc_id", "source", "mark", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return got.select("doc_id", "source", "mark", "size", "source_size", "target", none("taken"), "first_slot", none("n_slots"), "turns")
+
+
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(slot, doc_id, source, words): the mix in pieces, one row for each slot that a document stands in. Read by slot, every beginning of the mix holds the sources nearly as their targets are."""
+    rows, parts = _placed(docs, id_col, text_col, source_col)
+    pieces = parts.groupBy(F.col("row").alias("of"), "slot").agg(F.sum("part").alias("words"))
+    return rows.join(pieces.hint("merge"), F.col("row") == F.col("of")).select("slot", "doc_id", "source", "words")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken), one row a document: the words of it that the mix takes, repeats counted.
+    """(doc_id, size, source_size, target, taken, first_slot, n_slots), one row a document: the words of it that the mix takes, repeats counted, and where.
 
-    The taken words of a source are its target, to the nearest whole.  A null
+    first_slot is the lowest slot of the schedule that the document stands in
+    (null where the mix leaves it out), n_slots how many pieces of it stand in
+    slots.  The taken words of a source are its target, to the nearest whole.  A null
     or empty text has no words and is not taken.  A null source is a source.
     Reruns over the same rows agree; repeated rows are rows of their own.
     """
-    return _mixed(docs, id_col, text_col, source_col).select("doc_id", "size", "source_size", "target", "taken")
+    return _mixed(docs, id_col, text_col, source_col).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix as documents: each as often as its taken words fill it, columns as they were.
-
-    The target ends inside one document of each source, which is taken to the
-    nearest whole; all others are taken whole, so a source is off its target by
-    half a document at most.  A document that the mix leaves out goes; one
-    without words goes too.  Rows with the same id, text and source are drawn
-    alike, by the mean of their shares to the nearest whole.
+    """The mix as documents, in the order of the schedule: each as often as its taken words fill it, columns as they were.
+
+    A copy stands where a reading of its document begins; partitions follow
+    the order of slots and so do the rows of each, so the table that is
+    written from them can be read from its start as a mix.  The target ends
+    inside one document of each source, which is taken to the nearest whole;
+    all others are taken whole, so a source is off its target by half a
+    document at most.  A document that the mix leaves out goes; one without
+    words goes too.  Rows with the same id, text and source are drawn alike, by
+    the mean of their shares to the nearest whole.
     """
     share = _mixed(docs, id_col, text_col, source_col).where("size > 0")
-    copies = share.groupBy("doc_id", "mark", "source").agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).alias("copies")).where("copies > 0")
-    copies = stored(copies.select(F.col("doc_id").alias("mix_id"), F.col("mark").alias("mix_mark"), F.col("source").alias("mix_source"), F.col("copies").alias("mix_copies")), "mix-copies")
+    copies = share.groupBy("doc_id", "mark", "source").agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("copies"), F.min("turns").alias("turns")).where("copies > 0")
+    copies = stored(copies.select(F.col("doc_id").alias("mix_id"), F.col("mark").alias("mix_mark"), F.col("source").alias("mix_source"), F.col("copies").alias("mix_copies"), F.col("turns").alias("mix_turns")), "mix-copies")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(source_col).cast("string").alias("source"))
     got = rows.join(copies.hint("merge"), (F.col("mark") == F.col("mix_mark")) & F.col("id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")))
-    return got.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select("row.*")
+    slot = F.transform(F.sequence(F.lit(0), F.col("mix_copies") - 1), lambda i: F.coalesce(F.get(F.col("mix_turns"), i), F.element_at(F.col("mix_turns"), -1)))
+    got = got.select("row", "mark", F.explode(slot).alias("slot"))
+    return got.repartitionByRange("slot", "mark").sortWithinPartitions("slot", "mark").select("row.*")
