@@ -176,6 +176,18 @@ class Func(Node):
         return ".".join(self.name).upper()
 
 
+@dataclass(frozen=True)
+class Fold(Node):
+    """A counted loop as one value: a record of variables, each with its type, first value and value after a turn."""
+
+    low: Node
+    high: Node
+    back: bool
+    sofar: str  # the name of the record in a turn
+    at: str  # and of the number
+    items: tuple[tuple[str, TypeName, Node, Node], ...]
+
+
 # --- queries --------------------------------------------------------------
 
 
@@ -190,6 +202,7 @@ class Table(Node):
     name: tuple[str, ...]
     alias: str | None = None
     sample: str = ""  # per cent of the rows
+    as_of: tuple[str, Node] | None = None  # SCN or TIMESTAMP, and which
 
 
 @dataclass(frozen=True)

@@ -2,9 +2,11 @@
 
 Control flow runs on the driver, as it would in a database's own interpreter;
 every query and every data change in it is one Spark plan.  A data change
-writes the table's next version to the shared folder and swaps the temporary
-view of that name.  FORALL and triggers are set-based: one plan for all rows.
-Cursors stream their rows; BULK COLLECT keeps rows as a table and brings them
+writes the rows that it changes to the shared folder, and the table's next
+version is a plan over the last one; a log keeps the versions, for AS OF,
+savepoints and ROLLBACK, and COMMIT writes a table whole again.  FORALL and
+triggers are set-based: one plan for all rows.  A function over columns becomes
+an expression in its query's plan (tessera.dialects.inline).  Cursors stream their rows; BULK COLLECT keeps rows as a table and brings them
 to the driver only where single elements are asked for.
 """
 
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 
 from ..operators import dml
 from ..operators.sequences import Sequence
+from ..operators.versions import Versions
 from ..shared import shared_dir
+from . import inline
 from . import nodes as N
 from .emit import Emitter
 from .lexer import SqlError
@@ -53,6 +57,11 @@ class _Return(Exception):
 _CODES = {"no_data_found": 100, "too_many_rows": -1422, "zero_divide": -1476, "dup_val_on_index": -1, "value_error": -6502, "invalid_number": -1722, "invalid_cursor": -1001, "bulk_errors": -24381}
 
 
+_AGGREGATES = frozenset("SUM COUNT MIN MAX AVG".split())
+#: Functions that give another value each time: what they write is stored at once.
+_CHANGING = frozenset("RAND RANDOM UUID SYS_GUID GENERATE_UNIQUE NOW SYSDATE SYSTIMESTAMP CURRENT_TIMESTAMP CURRENT_DATE CURDATE CURTIME LOCALTIMESTAMP LOCALTIME UTC_TIMESTAMP UTC_DATE VALUE NORMAL".split())
+
+
 class Bulk:
     """What BULK COLLECT fetched: rows numbered from 1 in a stored table, one column of it."""
 
@@ -126,6 +135,7 @@ class Routine:
     run: Callable[[Frame], None]
     returns: bool = False
     scope: Frame | None = None  # a package's variables
+    text: str = ""  # of a function
 
 
 @dataclass
@@ -135,7 +145,12 @@ class Trigger:
     when: str  # BEFORE, AFTER
     events: set[str]
     sets: list[tuple[str, N.Node | None, N.Node]] = field(default_factory=list)  # column, condition, value
-    inserts: list[N.Insert] = field(default_factory=list)
+    inserts: list[tuple[N.Insert, N.Node | None]] = field(default_factory=list)  # with their conditions
+    columns: tuple[str, ...] = ()  # UPDATE OF: one of them must be set
+    begun: list[Callable] = field(default_factory=list)  # BEFORE STATEMENT
+    ended: list[Callable] = field(default_factory=list)  # AFTER STATEMENT
+    sums: list[tuple[str, N.Node, N.Node | None]] = field(default_factory=list)  # variables that rows add to: name, value, condition
+    declared: list[Callable] = field(default_factory=list)  # variables of a compound trigger, new for each statement
 
 
 def literal(v) -> N.Node:
@@ -168,6 +183,8 @@ class Routines:
         self.notes: list[str] = []
         self.rowcount = 0
         self.bulk_errors: list[tuple[int, int]] = []
+        self.versions = Versions(spark)
+        self._inlined: dict[str, inline.Function] = {}
 
     # --- definitions and calls -------------------------------------------
 
@@ -186,6 +203,17 @@ class Routines:
         p.block(own=False)(frame)
         return {k: v.values() if isinstance(v, Bulk) else v for k, v in frame.own.items() if not isinstance(v, Cursor)}
 
+    def query(self, sql: str) -> DataFrame:
+        """Runs a query; its calls of own functions over columns are part of its plan, and AS OF reads earlier versions."""
+        p = _Compiler(sql, self)
+        return self.rows(p.query(), Frame(self.globals))
+
+    def function(self, r: Routine) -> inline.Function:
+        """A function as an expression."""
+        if r.name not in self._inlined:
+            self._inlined[r.name] = inline.function(r.text, self.dialect)
+        return self._inlined[r.name]
+
     def call(self, name: str, *args):
         """Calls a routine with Python values; a function's value, or a dict of a procedure's OUT and INOUT parameters."""
         r = self.known[name.lower()]
@@ -238,7 +266,10 @@ class Routines:
                     return literal({"exists": 1 <= i <= size, "next": i + 1 if i < size else None, "prior": i - 1 if i > 1 else None, "count": size, "first": 1 if size else None, "last": size or None}[name[1]])
                 r = self.known.get(".".join(name))
                 if r is not None and r.returns:
-                    return literal(self.call(r.name, *[self.value(a, frame) for a in n.args]))
+                    args = tuple(turn(a) for a in n.args)
+                    if any(isinstance(x, (N.Name, N.Star)) or isinstance(x, N.Func) and x.upper in _AGGREGATES for a in args for x in N.every(a)):  # over rows
+                        return turn(self.function(r).applied(args))
+                    return literal(self.call(r.name, *[self.value(a, frame) for a in args]))
                 if name == ["sqlerrm"] or name == ["sqlcode"]:
                     return literal(frame.get(name[0]) if frame.holder(name[0]) else None)
             return _children(n, turn)
@@ -293,9 +324,19 @@ class Routines:
         return frozenset(out)
 
     def rows(self, query, frame: Frame) -> DataFrame:
-        tree = self.told(query, frame, self.columns_of(query))
+        tree = N.walk(self.told(query, frame, self.columns_of(query)), lambda n: self.earlier(n, frame) if isinstance(n, N.Table) and n.as_of is not None else n)
         return self.spark.sql(Emitter(self.dialect).query(rewritten(tree, self.dialect)))
 
+    def earlier(self, t: N.Table, frame: Frame) -> N.Table:
+        """A table AS OF a number of the log or a time, as a view of that version."""
+        at = self.value(t.as_of[1], frame)
+        view = f"_version_{uuid.uuid4().hex}"
+        try:
+            self.versions.at(".".join(t.name), at, t.as_of[0] == "SCN").createOrReplaceTempView(view)
+        except KeyError:
+            raise Raised("snapshot_too_old", -1555, f"no version of {t.name[-1]} is as old as {at}") from None
+        return N.replace(t, name=(view,), alias=t.alias or t.name[-1], as_of=None)
+
     # --- data changes ----------------------------------------------------------
 
     def stored(self, df: DataFrame) -> DataFrame:
@@ -310,22 +351,33 @@ class Routines:
         event = {N.Insert: "INSERT", N.Update: "UPDATE", N.Delete: "DELETE", N.Merge: "MERGE"}[type(tree)]
         tree = self.told(tree, frame, self.columns_of(tree) | {c.lower() for c in self.spark.table(".".join(target)).columns})
         for t in self.triggers:
-            if t.table == name and t.when == "BEFORE" and event in t.events:
+            if t.table == name and t.sets and event in t.events:
                 tree = self.before(tree, t)
         keys = self.keys.get(name)
         act = {N.Insert: lambda: dml.insert(self.spark, tree, self.dialect, keys), N.Update: lambda: dml.update(self.spark, tree, self.dialect), N.Delete: lambda: dml.delete(self.spark, tree, self.dialect), N.Merge: lambda: dml.merge(self.spark, tree, self.dialect)}[type(tree)]
+        assigned = {c.parts[-1].lower() for x in getattr(tree, "assigns", ()) for c in x.columns} | {c.parts[-1].lower() for w in getattr(tree, "whens", ()) for x in w.assigns for c in x.columns}
+        fired = [t for t in self.triggers if t.table == name and (event in t.events or event == "MERGE" and t.events) and not (event == "UPDATE" and t.events == {"UPDATE"} and t.columns and not assigned & set(t.columns))]
+        frames = {id(t): Frame(self.globals) for t in fired}
+        for t in fired:
+            for act_ in [*t.declared, *t.begun]:
+                act_(frames[id(t)])
+        plain = isinstance(tree, N.Insert) and not (tree.ignore or tree.replace or tree.on_duplicate)
         got = self.guarded(act)
-        changed = self.guarded(lambda: self.stored(got.changed))
-        if isinstance(tree, N.Insert) and keys and not (tree.ignore or tree.replace or tree.on_duplicate):
+        pairs = self.guarded(lambda: self.stored(got.pairs))
+        changed = pairs.select(F.coalesce("new", "old").alias("_r")).select("_r.*")
+        if plain and keys:
             old = self.spark.table(".".join(target))
             if not changed.join(old, keys, "left_semi").isEmpty() or not changed.groupBy(*keys).count().where("count > 1").isEmpty():
                 raise Raised("dup_val_on_index", _CODES["dup_val_on_index"], f"unique key of {name} violated")
-        self.guarded(lambda: self.stored(got.table)).createOrReplaceTempView(".".join(target))
-        self.rowcount = changed.count()
-        for t in self.triggers:
-            if t.table == name and t.when == "AFTER" and event in t.events:
-                self.after(changed, t, event)
-        return dml.Change(self.spark.table(".".join(target)), changed)
+        if plain:
+            self.versions.appended(".".join(target), changed)
+        else:
+            fixed = any(isinstance(n, N.Func) and n.upper.split(".")[-1] in _CHANGING for n in N.every(tree))
+            self.guarded(lambda: self.versions.replaced(".".join(target), got.table, fixed))
+        self.rowcount = pairs.count()
+        for t in fired:
+            self.after(pairs, t, event, assigned, frames[id(t)])
+        return dml.Change(self.spark.table(".".join(target)), changed, pairs)
 
     def before(self, tree, t: Trigger):
         """BEFORE ... FOR EACH ROW: what it sets becomes part of the values that are written."""
@@ -350,16 +402,40 @@ class Routines:
             sets[col] = value if cond is None else N.Case(None, ((new(cond, of), value),), old)
         return N.replace(tree, assigns=tuple(N.Assign((N.Name((c,)),), v) for c, v in sets.items()))
 
-    def after(self, changed: DataFrame, t: Trigger, event: str) -> None:
-        """AFTER ... FOR EACH ROW: its inserts, one plan for all changed rows."""
-        view = f"_changed_{uuid.uuid4().hex}"
-        changed.createOrReplaceTempView(view)
-        for ins in t.inserts:
-            row = N.walk(ins.source.rows[0], lambda n: N.Name(("_row", n.parts[-1])) if isinstance(n, N.Name) and n.parts[0].lower() in ("new", "old") else n)
-            query = N.Select(tuple(N.Item(e, f"c{i}") for i, e in enumerate(row)), N.Table((view,), "_row"))
-            count, self.rowcount = self.rowcount, 0
-            self.change(N.replace(ins, source=query), self.globals)
-            self.rowcount = count
+    def after(self, pairs: DataFrame, t: Trigger, event: str, assigned: set[str], frame: Frame) -> None:
+        """AFTER triggers: the inserts of row triggers, one plan for all changed rows, sums over them, then what runs once a statement."""
+        count = self.rowcount
+        if t.inserts or t.sums:
+            view = f"_changed_{uuid.uuid4().hex}"
+            pairs.createOrReplaceTempView(view)
+            is_null = lambda side, no=False: N.Is(N.Name(("_row", side)), "NULL", None, no)
+            events = {"inserting": is_null("old"), "deleting": is_null("new"), "updating": N.Binary("AND", is_null("old", True), is_null("new", True))}
+
+            def seen(n):
+                if isinstance(n, N.Name) and len(n.parts) == 2 and n.parts[0].lower() in ("new", "old"):
+                    return N.Name(("_row", n.parts[0].lower(), n.parts[1]))
+                if isinstance(n, N.Name) and len(n.parts) == 1 and n.parts[0].lower() in events:
+                    return events[n.parts[0].lower()]
+                if isinstance(n, N.Func) and n.upper == "UPDATING" and len(n.args) == 1 and isinstance(n.args[0], N.Lit):
+                    return events["updating"] if n.args[0].value.lower() in assigned else N.Lit("bool", False)
+                return n
+
+            own = [e for e in ("INSERT", "UPDATE", "DELETE") if e in t.events]
+            about = [N.Name(({"INSERT": "inserting", "UPDATE": "updating", "DELETE": "deleting"}[e],)) for e in own]
+            rows = N.walk(about[0] if len(about) == 1 else N.Binary("OR", about[0], about[1]) if len(about) == 2 else N.Lit("bool", True), seen)
+            for name, value, cond in t.sums:
+                where = rows if cond is None else N.Binary("AND", rows, N.walk(cond, seen))
+                query = N.Select((N.Item(N.Func(("sum",), (N.walk(value, seen),)), "s"),), N.Table((view,), "_row"), where)
+                more = self.rows(query, frame).first()[0]
+                frame.set(name, (frame.get(name) or 0) + (more or 0))
+            for ins, cond in t.inserts:
+                where = rows if cond is None else N.Binary("AND", rows, N.walk(cond, seen))
+                query = N.Select(tuple(N.Item(N.walk(e, seen), f"c{i}") for i, e in enumerate(ins.source.rows[0])), N.Table((view,), "_row"), where)
+                self.change(N.replace(ins, source=query), frame)
+            self.spark.catalog.dropTempView(view)
+        for act in t.ended:
+            act(frame)
+        self.rowcount = count
 
     def forall(self, index: str, low: int, high: int, tree, frame: Frame, save: bool) -> None:
         """FORALL: one plan over the collections' rows."""
@@ -440,6 +516,7 @@ class _Compiler(Parser):
         if self.take("PACKAGE"):
             return self.package_body() if self.take("BODY") else self.package_head()
         kind = self.take_any("PROCEDURE", "FUNCTION") or self.fail("PROCEDURE, FUNCTION, TRIGGER or PACKAGE")
+        begun = self.tok.at
         name = self.path()[-1].lower()
         full = f"{self.package}.{name}" if self.package else name
         params: list[Param] = []
@@ -461,7 +538,8 @@ class _Compiler(Parser):
             if w in ("IS", "AS"):
                 break
         body = self.block()
-        self.s.known[full] = Routine(full, params, body, kind == "FUNCTION", None)
+        self.s.known[full] = Routine(full, params, body, kind == "FUNCTION", None, f"CREATE {kind} " + self.sql[begun : self.toks[self.i].at])
+        self.s._inlined.pop(full, None)
         return None
 
     def package_head(self) -> None:
@@ -499,56 +577,118 @@ class _Compiler(Parser):
 
     def trigger(self) -> None:
         name = self.path()[-1].lower()
-        when = self.take_any("BEFORE", "AFTER") or self.fail("BEFORE or AFTER")
-        events = set()
+        compound = self.take("FOR")
+        when = "AFTER" if compound else self.take_any("BEFORE", "AFTER") or self.fail("BEFORE or AFTER")
+        events, columns = set(), []
         while e := self.take_any("INSERT", "UPDATE", "DELETE"):
             events.add(e)
             if e == "UPDATE" and self.take("OF"):
-                self.listed(self.ident)
+                columns += [c.lower() for c in self.listed(self.ident)]
             if not self.take("OR"):
                 break
         self.need("ON")
         table = self.path()[-1].lower()
-        self.need("FOR", "EACH", "ROW")
-        t = Trigger(name, table, when, events)
+        t = Trigger(name, table, when, events, columns=tuple(columns))
+        if self.take("COMPOUND", "TRIGGER"):
+            self.compound(t)
+            self.s.triggers.append(t)
+            return
+        while self.take("REFERENCING"):
+            while w := self.take_any("NEW", "OLD"):
+                self.take("AS")
+                if self.ident().lower() != w.lower():
+                    raise SqlError("REFERENCING other names than NEW and OLD is not supported")
+        rows = self.take("FOR", "EACH", "ROW")
+        rows or self.take("FOR", "EACH", "STATEMENT")
         cond = None
         if self.take("WHEN"):
             self.need("(")
             cond = self.expr()
             self.need(")")
+        if not rows:
+            acts = [self.block()]
+            if when == "BEFORE":
+                t.begun = acts
+            else:
+                t.ended = acts
+            self.s.triggers.append(t)
+            return
         begun = self.take("BEGIN")
         while not self.at("END") and self.tok.kind != "end":
-            self.trigger_statement(t, cond)
+            self.trigger_statement(t, cond, when)
             if not begun:
                 break
         if begun:
             self.need("END")
             self._name()
-        if when == "AFTER" and events == {"UPDATE"} and any(isinstance(n, N.Name) and n.parts[0].lower() == "old" for i in t.inserts for n in N.every(i)):
-            raise SqlError("an AFTER UPDATE trigger sees the new row alone here")
         self.s.triggers.append(t)
 
-    def trigger_statement(self, t: Trigger, cond) -> None:
+    def compound(self, t: Trigger) -> None:
+        """Sections of a compound trigger: once before and once after the statement, and for each row; they share variables that are new for each statement."""
+        while not (self.at("BEFORE") or self.at("AFTER")):
+            t.declared.append(self.variable())
+        while not self.take("END"):
+            side = self.take_any("BEFORE", "AFTER") or self.fail("BEFORE or AFTER")
+            rows = self.take("EACH", "ROW")
+            rows or self.need("STATEMENT")
+            self.need("IS", "BEGIN")
+            if rows:
+                while not self.at("END"):
+                    self.trigger_statement(t, None, side)
+            elif side == "BEFORE":
+                t.begun += self.statements("END")
+            else:
+                t.ended += self.statements("END")
+            self.need("END", side)
+            self.take("EACH", "ROW") or self.need("STATEMENT")
+            self.need(";")
+        self._name()
+
+    def trigger_statement(self, t: Trigger, cond, side: str) -> None:
         if self.take("IF"):
+            before: N.Node | None = None  # no earlier arm holds
             c = self.expr()
             self.need("THEN")
-            both = c if cond is None else N.Binary("AND", cond, c)
-            while not self.at("END"):
-                self.trigger_statement(t, both)
+            while True:
+                own = c if before is None else N.Binary("AND", before, c)
+                both = own if cond is None else N.Binary("AND", cond, own)
+                while not (self.at("END") or self.at("ELSE") or self.at("ELSIF") or self.at("ELSEIF")):
+                    self.trigger_statement(t, both, side)
+                fails = N.Unary("NOT", N.Func(("coalesce",), (c, N.Lit("bool", False))))
+                before = fails if before is None else N.Binary("AND", before, fails)
+                if self.take_any("ELSIF", "ELSEIF"):
+                    c = self.expr()
+                    self.need("THEN")
+                elif self.take("ELSE"):
+                    c = N.Lit("bool", True)
+                else:
+                    break
             self.need("END", "IF")
             self.take(";")
             return
+        if self.take("NULL", ";"):
+            return
         if self.at("INSERT"):
-            if t.when != "AFTER" or cond is not None:
-                raise SqlError("a trigger's INSERT stands in an AFTER trigger, without a condition")
-            t.inserts.append(self.insert())
+            ins = self.insert()
+            if side != "AFTER" or not isinstance(ins.source, N.Values):
+                raise SqlError("a row trigger's INSERT stands in an AFTER trigger and inserts VALUES")
+            t.inserts += [(N.replace(ins, source=N.Values((r,))), cond) for r in ins.source.rows]
             self.take(";")
             return
         self.take("SET")
+        if self.tok.kind == "word" and self.ahead().text in (":=", "=") and side == "AFTER":  # a sum over rows
+            name = self.ident().lower()
+            self.i += 1
+            e = self.expr()
+            self.need(";")
+            if not (isinstance(e, N.Binary) and e.op in "+-" and isinstance(e.left, N.Name) and e.left.parts[-1].lower() == name):
+                raise SqlError(f"a row section adds to a variable ({name} := {name} + ...), as rows have no order")
+            t.sums.append((name, e.right if e.op == "+" else N.Unary("-", e.right), cond))
+            return
         if self.at(":"):
             self.i += 1
         at = self.row_name()
-        if t.when != "BEFORE" or at[0] != "new":
+        if side != "BEFORE" or at[0] != "new":
             raise SqlError("a trigger sets columns of the new row, before it is written")
         self.take(":=") or self.need("=")
         t.sets.append((at[1], cond, self.expr()))
@@ -845,12 +985,27 @@ class _Compiler(Parser):
 
             return signal
         if w := self.take_any("COMMIT", "ROLLBACK", "SAVEPOINT"):
+            self.take("WORK")
+            name = None
+            if w == "SAVEPOINT":
+                name = self.ident().lower()
+            elif w == "ROLLBACK" and self.take("TO"):
+                self.take("SAVEPOINT")
+                name = self.ident().lower()
             while not self.take(";"):
                 self.i += 1
-            self.s.notes.append(f"{w} does nothing: each data change is a version of its table")
-            if w == "ROLLBACK":
-                raise SqlError("ROLLBACK is not supported: changes are versions, not transactions")
-            return lambda f: None
+            if w == "COMMIT":
+                return lambda f: self.s.versions.commit()
+            if w == "SAVEPOINT":
+                return lambda f: self.s.versions.savepoint(name)
+
+            def undo(f):
+                try:
+                    self.s.versions.rollback(name)
+                except KeyError:
+                    raise Raised("no_such_savepoint", -1086, f"savepoint {name} was never set") from None
+
+            return undo
         if self.take("SET"):
             acts = [self.assign_one()]
             while self.take(","):

@@ -25,10 +25,32 @@ from ..shared import shared_dir
 
 @dataclass
 class Change:
-    """The table after a statement, and the rows that the statement wrote or removed (RETURNING)."""
+    """The table after a statement, the rows that the statement wrote or removed (RETURNING), and each of these as it was and as it is now.
+
+    pairs: (old, new), two structs of the table's columns; old is null for a
+    row that is new, new for one that is gone.
+    """
 
     table: DataFrame
     changed: DataFrame
+    pairs: DataFrame | None = None
+
+
+def _row(df: DataFrame, target: DataFrame, prefix: str = "") -> F.Column:
+    """A row of the target's columns as a struct."""
+    return F.struct(*[F.col(f"{prefix}`{f.name}`").cast(f.dataType).alias(f.name) for f in target.schema.fields])
+
+
+def _none(target: DataFrame) -> F.Column:
+    return F.lit(None).cast(target.schema)
+
+
+def _added(rows: DataFrame, target: DataFrame) -> DataFrame:
+    return rows.select(_none(target).alias("old"), _row(rows, target).alias("new"))
+
+
+def _gone(rows: DataFrame, target: DataFrame) -> DataFrame:
+    return rows.select(_row(rows, target).alias("old"), _none(target).alias("new"))
 
 
 def _emit(node, dialect: str) -> str:
@@ -101,18 +123,20 @@ def insert(spark: SparkSession, tree: N.Insert, dialect: str, keys: list[str] |
     target = spark.table(".".join(tree.table))
     if not (tree.ignore or tree.replace or tree.on_duplicate):
         rows = _rows(spark, tree, target, dialect)
-        return Change(target.unionByName(rows), rows)
+        return Change(target.unionByName(rows), rows, _added(rows, target))
     if not keys:
         raise SqlError("an upsert needs the table's unique key")
     rows = _rows(spark, tree, target, dialect, ordered=True)
     if tree.ignore:
         one, nulls = _by_key(rows, keys, True, False)
         new = one.join(target.select(*keys), keys, "left_anti").select(*target.columns).unionByName(nulls)
-        return Change(target.unionByName(new), new)
+        return Change(target.unionByName(new), new, _added(new, target))
     if tree.replace:
         one, nulls = _by_key(rows, keys, False, False)
         new = one.unionByName(nulls)
-        return Change(target.join(one.select(*keys), keys, "left_anti").select(*target.columns).unionByName(new), new)
+        replaced = target.join(one.select(*keys), keys, "left_semi").select(*target.columns)
+        pairs = _gone(replaced, target).unionByName(_added(new, target))
+        return Change(target.join(one.select(*keys), keys, "left_anti").select(*target.columns).unionByName(new), new, pairs)
     if "_at" in rows.columns:  # a turn for each row that shares its key with earlier ones; VALUES is as long as the statement
         turns = rows.withColumn("_turn", F.row_number().over(W.partitionBy(*keys).orderBy("_at")))
         last = turns.agg(F.max("_turn")).first()[0] or 1
@@ -124,7 +148,7 @@ def insert(spark: SparkSession, tree: N.Insert, dialect: str, keys: list[str] |
             change = None
             for t in range(1, last + 1):
                 now = _upserted(target if change is None else change.table, turns.where(F.col("_turn") == t).drop("_turn"), tree, dialect, keys)
-                change = now if change is None else Change(now.table, change.changed.unionByName(now.changed))
+                change = now if change is None else Change(now.table, change.changed.unionByName(now.changed), change.pairs.unionByName(now.pairs))
             return change
         return _upserted(target, rows.drop("_at"), tree, dialect, keys)
     one, nulls = _by_key(rows, keys, True, True)
@@ -154,9 +178,11 @@ def _upserted(target: DataFrame, rows: DataFrame, tree: N.Insert, dialect: str,
         sets[a.columns[0].parts[-1].lower()] = F.expr(_emit(N.walk(N.walk(a.value, told), own), dialect))
     mark = F.col("s._there").isNotNull()
     joined = old.join(rows.withColumn("_there", F.lit(1)).alias("s"), cond, "left")
-    updated = joined.select(*[F.when(mark, sets[c.lower()]).otherwise(F.col(f"t.`{c}`")).cast(target.schema[c].dataType).alias(c) if c.lower() in sets else F.col(f"t.`{c}`").alias(c) for c in target.columns])
+    values = [F.when(mark, sets[c.lower()]).otherwise(F.col(f"t.`{c}`")).cast(target.schema[c].dataType).alias(c) if c.lower() in sets else F.col(f"t.`{c}`").alias(c) for c in target.columns]
+    updated = joined.select(*values)
     fresh = new.join(old, cond, "left_anti").select("s.*")
-    return Change(updated.unionByName(fresh), joined.where(mark).select("s.*").drop("_there").unionByName(fresh))
+    pairs = joined.where(mark).select(_row(target, target, "t.").alias("old"), F.struct(*values).alias("new")).unionByName(_added(fresh, target))
+    return Change(updated.unionByName(fresh), joined.where(mark).select("s.*").drop("_there").unionByName(fresh), pairs)
 
 
 def _tables(t) -> list[N.Node]:
@@ -187,7 +213,7 @@ def update(spark: SparkSession, tree: N.Update, dialect: str) -> Change:
         hit = F.coalesce(cond, F.lit(False))
         own = target.alias(name)
         new = [F.when(hit, F.expr(_emit(sets[c.lower()], dialect))).otherwise(F.col(f"{name}.`{c}`")).cast(target.schema[c].dataType).alias(c) if c.lower() in sets else F.col(f"{name}.`{c}`").alias(c) for c in target.columns]
-        return Change(own.select(*new), own.where(hit).select(*new))
+        return Change(own.select(*new), own.where(hit).select(*new), own.where(hit).select(_row(target, target, f"{name}.").alias("old"), F.struct(*new).alias("new")))
     # Several tables: the changed values meet the target by all its columns' row key.
     unknown = [a for a in tree.assigns if a.columns[0].parts[-1].lower() not in owned]
     if unknown:
@@ -238,7 +264,8 @@ def _update_beside(spark, tree, dialect, first, target, other) -> Change:
     place = {a.columns[0].parts[-1].lower(): i for i, a in enumerate(tree.assigns)}
     hit = F.col("_hit").isNotNull()
     new = [(F.when(hit, F.col(f"_v{place[f.name.lower()]}")).otherwise(F.col(f"_t{i}")) if f.name.lower() in place else F.col(f"_t{i}")).cast(f.dataType).alias(f.name) for i, f in enumerate(target.schema.fields)]
-    return Change(met.select(*new), met.where(hit).select(*new))
+    was = F.struct(*[F.col(f"_t{i}").alias(f.name) for i, f in enumerate(target.schema.fields)])
+    return Change(met.select(*new), met.where(hit).select(*new), met.where(hit).select(was.alias("old"), F.struct(*new).alias("new")))
 
 
 def _update_by_query(spark, tree, dialect, first, target) -> Change:
@@ -274,7 +301,7 @@ def _apply(keyed: DataFrame, hits: DataFrame, tree: N.Update, target: DataFrame)
             sets[c.parts[-1].lower()] = value
     hit = F.col("_new").isNotNull()
     new = [F.when(hit, sets[c.lower()]).otherwise(F.col(f"`{c}`")).cast(target.schema[c].dataType).alias(c) if c.lower() in sets else F.col(f"`{c}`") for c in target.columns]
-    return Change(joined.select(*new), joined.where(hit).select(*new))
+    return Change(joined.select(*new), joined.where(hit).select(*new), joined.where(hit).select(_row(target, target).alias("old"), F.struct(*new).alias("new")))
 
 
 def delete(spark: SparkSession, tree: N.Delete, dialect: str) -> Change:
@@ -290,19 +317,22 @@ def delete(spark: SparkSession, tree: N.Delete, dialect: str) -> Change:
             raise SqlError("delete from one table at a time")
     target = spark.table(".".join(first.name))
     if tree.where is None and len(tables) == 1:
-        return Change(target.limit(0), target)
+        return Change(target.limit(0), target, _gone(target, target))
     if len(tables) == 1 and not any(isinstance(n, (N.Sub, N.Exists)) or isinstance(n, N.In) and n.query is not None for n in N.every(tree.where)):
         hit = F.coalesce(F.expr(_emit(tree.where, dialect)), F.lit(False))
         own = target.alias(_alias(first))
-        return Change(own.where(~hit).select(*target.columns), own.where(hit).select(*target.columns))
+        gone = own.where(hit).select(*target.columns)
+        return Change(own.where(~hit).select(*target.columns), gone, _gone(gone, target))
     if len(tables) == 1:  # a condition with subqueries: rows for which it is not true stay
         own = N.Select((N.Item(N.Star()),), N.Table((_view(target),), _alias(first)))
-        return Change(_select(spark, N.replace(own, where=N.Is(N.Row((tree.where,)), "TRUE", None, True)), dialect), _select(spark, N.replace(own, where=tree.where), dialect))
+        gone = _select(spark, N.replace(own, where=tree.where), dialect)
+        return Change(_select(spark, N.replace(own, where=N.Is(N.Row((tree.where,)), "TRUE", None, True)), dialect), gone, _gone(gone, target))
     keyed = _materialized(_with_key(target))
     view = _view(keyed)
     source = N.walk(tree.source, lambda n: N.Table((view,), _alias(first)) if n == first else n)
     hits = _select(spark, N.Select((N.Item(N.Name((_alias(first), "_row")), "_row"),), source, tree.where), dialect).distinct()
-    return Change(keyed.join(hits, "_row", "left_anti").select(*target.columns), keyed.join(hits, "_row", "left_semi").select(*target.columns))
+    gone = keyed.join(hits, "_row", "left_semi").select(*target.columns)
+    return Change(keyed.join(hits, "_row", "left_anti").select(*target.columns), gone, _gone(gone, target))
 
 
 def merge(spark: SparkSession, tree: N.Merge, dialect: str) -> Change:
@@ -347,4 +377,6 @@ def merge(spark: SparkSession, tree: N.Merge, dialect: str) -> Change:
     gone = F.coalesce(F.col("_action").isin(deletes), F.lit(False)) if deletes else F.lit(False)
     stays = ~gone & (F.col(f"{name}._old").isNotNull() | F.col("_action").isNotNull())
     cols = [values[c] for c in target.columns]
-    return Change(both.where(stays).select(*cols), both.where(F.col("_action").isNotNull()).select(*cols))
+    was = F.when(F.col(f"{name}._old").isNotNull(), _row(target, target, f"{name}."))
+    pairs = both.where(F.col("_action").isNotNull()).select(was.alias("old"), F.when(~gone, F.struct(*cols)).alias("new"))
+    return Change(both.where(stays).select(*cols), both.where(F.col("_action").isNotNull()).select(*cols), pairs)
