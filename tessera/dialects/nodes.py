@@ -296,6 +296,7 @@ class Select(Node):
     limit: Limit | None = None
     ctes: tuple[Cte, ...] = ()
     recursive: bool = False
+    siblings: bool = False  # the order is that of rows with the same parent
 
 
 @dataclass(frozen=True)
