@@ -340,6 +340,16 @@ class Insert(Node):
     on_duplicate: tuple[Assign, ...] = ()
 
 
+@dataclass(frozen=True)
+class InsertAll(Node):
+    """Rows of a query to several targets: to every arm whose condition holds, or to the first."""
+
+    first: bool
+    arms: tuple[tuple[Node | None, tuple[Insert, ...]], ...]
+    other: tuple[Insert, ...]
+    source: Node
+
+
 @dataclass(frozen=True)
 class Update(Node):
     source: Node

@@ -8,6 +8,7 @@ caller, who knows the table's constraints.
 
 from __future__ import annotations
 
+import os
 import uuid
 from dataclasses import dataclass
 
@@ -195,11 +196,15 @@ def _alias(t) -> str:
 
 def update(spark: SparkSession, tree: N.Update, dialect: str) -> Change:
     """A row that several source rows match takes one of them, as MySQL has it."""
-    if tree.limit is not None:
-        raise SqlError("UPDATE with LIMIT is not supported")
     first, *others = _tables(tree.source)
     name = _alias(first)
     target = spark.table(".".join(first.name))
+    if tree.limit is not None:
+        if others:
+            raise SqlError("UPDATE of several tables takes no LIMIT")
+        keyed, view, hits = _first_rows(spark, tree, dialect, first, target)
+        chosen = N.Select((N.Item(N.Name((name, "_row")), "_row"), *[N.Item(N.Lit("null") if isinstance(a.value, N.Default) else a.value, f"_v{i}") for i, a in enumerate(tree.assigns)]), N.Table((_view(keyed.join(hits, "_row", "left_semi")),), name))
+        return _apply(keyed, _select(spark, chosen, dialect), tree, target)
     owned = {c.lower() for c in target.columns}
     if not others:
         cond = F.expr(_emit(tree.where, dialect)) if tree.where is not None else F.lit(True)
@@ -221,6 +226,16 @@ def update(spark: SparkSession, tree: N.Update, dialect: str) -> Change:
     return _update_joined(spark, tree, dialect, first, target, others)
 
 
+def _first_rows(spark, tree, dialect, first, target) -> tuple[DataFrame, str, DataFrame]:
+    """(the target's rows numbered, their view, numbers of the rows that WHERE, ORDER BY and LIMIT choose). Rows that tie at the limit are any of them, as in the source."""
+    if tree.limit.percent or tree.limit.offset is not None or not isinstance(tree.limit.count, N.Lit):
+        raise SqlError("the LIMIT of a data change is a number")
+    keyed = _materialized(_with_key(target))
+    view = _view(keyed)
+    query = N.Select((N.Item(N.Name((_alias(first), "_row")), "_row"),), N.Table((view,), _alias(first)), tree.where, order=tree.order, limit=tree.limit)
+    return keyed, view, _materialized(_select(spark, query, dialect))
+
+
 def _with_key(df: DataFrame) -> DataFrame:
     """Rows with a number. The numbered rows are checkpointed, as both sides of a join must see the same numbers."""
     return df.withColumn("_row", F.monotonically_increasing_id())
@@ -306,15 +321,20 @@ def _apply(keyed: DataFrame, hits: DataFrame, tree: N.Update, target: DataFrame)
 
 def delete(spark: SparkSession, tree: N.Delete, dialect: str) -> Change:
     """Rows for which the condition is true go; of several tables the first target is changed."""
-    if tree.limit is not None:
-        raise SqlError("DELETE with LIMIT is not supported")
     tables = _tables(tree.source)
     first = tables[0]
+    if tree.limit is not None:
+        if len(tables) > 1:
+            raise SqlError("DELETE from several tables takes no LIMIT")
+        target = spark.table(".".join(first.name))
+        keyed, _, hits = _first_rows(spark, tree, dialect, first, target)
+        gone = keyed.join(hits, "_row", "left_semi").select(*target.columns)
+        return Change(keyed.join(hits, "_row", "left_anti").select(*target.columns), gone, _gone(gone, target))
     if tree.targets:
         want = tree.targets[0][-1].lower()
         first = next((t for t in tables if _alias(t).lower() == want or t.name[-1].lower() == want), first)
         if len(tree.targets) > 1:
-            raise SqlError("delete from one table at a time")
+            raise SqlError("a DELETE from several tables gives several changes: deletes()")
     target = spark.table(".".join(first.name))
     if tree.where is None and len(tables) == 1:
         return Change(target.limit(0), target, _gone(target, target))
@@ -335,6 +355,58 @@ def delete(spark: SparkSession, tree: N.Delete, dialect: str) -> Change:
     return Change(keyed.join(hits, "_row", "left_anti").select(*target.columns), gone, _gone(gone, target))
 
 
+def deletes(spark: SparkSession, sql: str, dialect: str) -> dict[str, Change]:
+    """DELETE a, b FROM ...: the change of each target. All see the tables as they were, as the rows of the join are found before any goes."""
+    tree, _ = parse(sql, dialect)
+    if not isinstance(tree, N.Delete):
+        raise SqlError("a DELETE is expected")
+    tables = _tables(tree.source)
+    out = {}
+    for t in tree.targets or ((_alias(tables[0]),),):
+        own = next((x for x in tables if _alias(x).lower() == t[-1].lower() or x.name[-1].lower() == t[-1].lower()), None)
+        if own is None:
+            raise SqlError(f"{t[-1]} is not in FROM")
+        out[own.name[-1].lower()] = delete(spark, N.replace(tree, targets=(t,)), dialect)
+    return out
+
+
+def insert_all(spark: SparkSession, sql: str, dialect: str = "oracle") -> dict[str, Change]:
+    """INSERT ALL and INSERT FIRST: the change of each target.
+
+    The query runs once, to a written table with the number of the arm or
+    arms that take each row; a target reads its rows from that.  A condition
+    that is NULL does not hold.  Without VALUES a target takes the query's
+    columns in order.
+    """
+    tree, _ = parse(sql, dialect)
+    if not isinstance(tree, N.InsertAll):
+        raise SqlError("INSERT ALL or FIRST is expected")
+    rows = _select(spark, tree.source, dialect)
+    columns = rows.columns
+    holds = [F.coalesce(F.expr(_emit(c, dialect)), F.lit(False)) if c is not None else F.lit(True) for c, _ in tree.arms]
+    arms = F.array_compact(F.array(*[F.when(h, i) for i, h in enumerate(holds)]))
+    arms = F.slice(arms, 1, 1) if tree.first else arms
+    arms = F.when(F.size(arms) == 0, F.array(F.lit(-1))).otherwise(arms)
+    path = os.path.join(shared_dir(spark), f"routed-{uuid.uuid4().hex}")
+    rows.withColumn("_arms", arms).write.parquet(path)
+    routed = spark.read.parquet(path)
+    out: dict[str, Change] = {}
+    for i, targets in [*((i, t) for i, (_, t) in enumerate(tree.arms)), (-1, tree.other)]:
+        view = _view(routed.where(F.array_contains("_arms", i)).drop("_arms"))
+        for t in targets:
+            name = t.table[-1].lower()
+            target = spark.table(".".join(t.table))
+            values = t.source.rows or (tuple(N.Name((c,)) for c in columns),)
+            added = None
+            for row in values:
+                query = N.Select(tuple(N.Item(N.Lit("null") if isinstance(e, N.Default) else e, f"c{k}") for k, e in enumerate(row)), N.Table((view,)))
+                new = _rows(spark, N.Insert(t.table, t.columns, query), target, dialect)
+                added = new if added is None else added.unionByName(new)
+            before = out[name] if name in out else Change(target, target.limit(0), _added(target.limit(0), target))
+            out[name] = Change(before.table.unionByName(added), before.changed.unionByName(added), before.pairs.unionByName(_added(added, target)))
+    return out
+
+
 def merge(spark: SparkSession, tree: N.Merge, dialect: str) -> Change:
     """One full outer join; the first WHEN that holds decides. A target row that several source rows match is an error."""
     name = _alias(tree.target)
