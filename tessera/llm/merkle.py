@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import arrow_column
+
 #: One word in so many ends a leaf; code points of a leaf at most.
 LEAF, LONGEST = 8, 256
 #: One paragraph in so many ends a section.
@@ -204,10 +206,10 @@ def _bucket(cuts: list[int], value):
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """Rows (part, tail, doc_id, text) dealt so that the next document's row is near: parts are ranges of ids, each
+    """Rows (part, tail, doc_id, h, packed) dealt so that the next document's row is near: parts are ranges of ids, each
     sorted; a row with tail = 1 at the end of a part is the first row of the part after (after the last: of the first).
 
-    Texts move once. Ids must be integers; null ids come first, and rows that repeat an id follow by a hash of the text.
+    Texts move once, packed by zlib. Ids must be integers; null ids come first, and rows that repeat an id follow by a hash of the text.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -224,9 +226,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     met = rows.join(F.broadcast(lead), F.col("part") == F.col("p"))  # a row a part
     is_first = F.col("doc_id").eqNullSafe(F.when(F.col("some"), F.col("id"))) & (F.xxhash64("text") == F.col("h"))
     own, ahead = F.struct(F.col("part").alias("part"), F.lit(0).alias("tail")), F.struct(F.col("before").alias("part"), F.lit(1).alias("tail"))
-    dealt = met.select(F.explode(F.when(is_first, F.array(own, ahead)).otherwise(F.array(own))).alias("at"), "doc_id", "text").select("at.part", "at.tail", "doc_id", "text")
-    dealt = dealt.repartitionById(len(cuts) + 1, F.col("part"))
-    return dealt.sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    packed = arrow_column(lambda column: pa.array([zlib.compress(t, 1) for t in column.cast(pa.binary()).to_pylist()], pa.binary()), "binary")
+    dealt = met.select(F.explode(F.when(is_first, F.array(own, ahead)).otherwise(F.array(own))).alias("at"), "doc_id", F.xxhash64("text").alias("h"), packed("text").alias("packed"))
+    dealt = dealt.select("at.part", "at.tail", "doc_id", "h", "packed").repartitionById(len(cuts) + 1, F.col("part"))
+    return dealt.sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_first(), "h")
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,9 +260,10 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return batch
 
         for b in batches:
-            for part, tail, doc, text in zip(*(b.column(c).to_pylist() for c in ("part", "tail", "doc_id", "text"))):
+            for part, tail, doc, packed in zip(*(b.column(c).to_pylist() for c in ("part", "tail", "doc_id", "packed"))):
                 if tail and (held is None or held[0] != part):
                     continue  # the part's last row has met its next one
+                text = zlib.decompress(packed).decode()
                 row = (doc, text, str(tree(text)))
                 if held is not None:
                     out.append(pair(held[1], row))
