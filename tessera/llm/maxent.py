@@ -50,6 +50,18 @@ class Size(NamedTuple):
         return self.classes * self.members
 
 
+#: Words of the corpus for each bucket of the previous token, about, and the bounds of their number: at 8,192 a task counts in 51 MB.
+WORDS_A_BUCKET, LEAST_NEAR, MOST_NEAR = 1_500, 64, 8_192
+
+
+def size_for(docs: DataFrame, text_col: str = "text") -> Size:
+    """The size that a corpus can fill: buckets of histories in proportion to its words (six bytes each, about), up to what a task can hold."""
+    held = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    near = 1 << round(math.log2(max(1, held / 6 / WORDS_A_BUCKET)))
+    near = min(MOST_NEAR, max(LEAST_NEAR, near))
+    return Size(32, 32, near, 16, min(16 * near, 16_384))
+
+
 SIZE = Size()
 CLASSES, MEMBERS, NEAR, SKIP, PAIR = SIZE
 SLOTS = SIZE.slots
@@ -86,6 +98,15 @@ def _pair(near, skip, size: Size):
     return (near * 40_503 + skip * 9_973) % size.pair
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts, most of which are 0, as bytes."""
+    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), np.int64)
+
+
 def gathered(docs: DataFrame, size: Size = SIZE) -> tuple[DataFrame, DataFrame]:
     """(words: word, n), (counts: near, classes, slots) of the training texts in a column `text`.
 
@@ -94,7 +115,7 @@ def gathered(docs: DataFrame, size: Size = SIZE) -> tuple[DataFrame, DataFrame]:
 
     def fn(batches):
         words: Counter[bytes] = Counter()
-        classes, slots = np.zeros((size.near, size.skip, size.classes), np.int64), np.zeros((size.near, size.slots), np.int64)
+        classes, slots = np.zeros((size.near, size.skip, size.classes), np.int32), np.zeros((size.near, size.slots), np.int32)
         some = False
 
         def out():
@@ -125,7 +146,7 @@ def gathered(docs: DataFrame, size: Size = SIZE) -> tuple[DataFrame, DataFrame]:
         if some:
             yield out()
             words.clear()
-            blobs = [[x[k].tobytes() for k in range(size.near)] for x in (classes, slots)]
+            blobs = [[_packed(x[k]) for k in range(size.near)] for x in (classes, slots)]
             yield pa.RecordBatch.from_arrays([pa.array(range(size.near), pa.int32()), pa.nulls(size.near, pa.binary()), pa.nulls(size.near, pa.int64()), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], ["near", "word", "n", "classes", "slots"])
         tidy()
 
@@ -136,10 +157,10 @@ def gathered(docs: DataFrame, size: Size = SIZE) -> tuple[DataFrame, DataFrame]:
         sums: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for near, c, s in zip(*(b.column(k).to_pylist() for k in ("near", "classes", "slots"))):
-                c, s = np.frombuffer(c, np.int64), np.frombuffer(s, np.int64)
+                c, s = _unpacked(c), _unpacked(s)
                 sums[near] = [sums[near][0] + c, sums[near][1] + s] if near in sums else [c, s]
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x[0].tobytes() for x in sums.values()], pa.binary()), pa.array([x[1].tobytes() for x in sums.values()], pa.binary())], ["near", "classes", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([_packed(x[0]) for x in sums.values()], pa.binary()), pa.array([_packed(x[1]) for x in sums.values()], pa.binary())], ["near", "classes", "slots"])
 
     # Each task over the texts gives one row a near bucket, so sums are taken in two steps: over groups of those tasks, then over groups.
     parts = rows.where("word is null").select("near", "classes", "slots").withColumn("of", F.spark_partition_id())
@@ -185,8 +206,8 @@ def trained(counts: DataFrame, rounds: int = ROUNDS, size: Size = SIZE) -> Weigh
     """Gradient updates on the log-likelihood: tasks add up the counts of each feature that the model expects, the driver
     takes scaled steps toward those seen.
 
-    A round sends the driver each near bucket's own features once and the shared ones once a task, whatever the corpus:
-    5 MB for 8 tasks.
+    A round sends the driver each near bucket's own features once and the shared ones once a task: 5 MB for 8 tasks at
+    256 buckets, 50 MB at the most that size_for() gives.
     """
     w = Weights(size)
     shared, own = ("bias", "skip", "pair", "member"), ("near", "near_member")
@@ -199,7 +220,7 @@ def trained(counts: DataFrame, rounds: int = ROUNDS, size: Size = SIZE) -> Weigh
             sums, rows = Weights(size), []
             for b in batches:
                 for near, c, s in zip(*(b.column(k).to_pylist() for k in ("near", "classes", "slots"))):
-                    c, s = np.frombuffer(c, np.int64).reshape(size.skip, size.classes), np.frombuffer(s, np.int64)
+                    c, s = _unpacked(c).reshape(size.skip, size.classes), _unpacked(s)
                     if expected:
                         c, s = _moments(w, near, c, s)
                     sums.bias += c.sum(0)

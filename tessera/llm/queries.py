@@ -32,7 +32,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maxent.language_model_scores(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return maxent.language_model_scores(docs, size=maxent.size_for(docs))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
