@@ -249,6 +249,9 @@ class Routines:
                         return literal(v.get(parts[1]))
                     if isinstance(v, (list, Bulk)):
                         return literal({"count": lambda: len(v), "first": lambda: 1 if len(v) else None, "last": lambda: len(v) or None}[parts[1]]())
+                scope = getattr(self, "_scopes", {}).get(parts[0])
+                if len(parts) == 2 and scope is not None and parts[1] in scope.own and not isinstance(scope.own[parts[1]], Routine):
+                    return literal(scope.own[parts[1]])
                 if len(parts) == 2 and (at := self.globals.holder(".".join(parts))) is not None:
                     return literal(at.own[".".join(parts)])
                 return n

@@ -400,12 +400,12 @@ def _runner(dialect: str, sql: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import introspect_queries, operator_queries, order_queries, routine_queries, schema_queries, search_queries, version_queries
+    from . import introspect_queries, operator_queries, order_queries, routine_queries, schema_queries, search_queries, table_queries, version_queries
 
-    return {name: _runner(dialect, sql) for name, (dialect, sql, _) in (SQL | dialect_queries.SQL).items()} | operator_queries.queries() | schema_queries.queries() | routine_queries.queries() | introspect_queries.queries() | search_queries.queries() | version_queries.queries() | order_queries.queries()
+    return {name: _runner(dialect, sql) for name, (dialect, sql, _) in (SQL | dialect_queries.SQL).items()} | operator_queries.queries() | schema_queries.queries() | routine_queries.queries() | introspect_queries.queries() | search_queries.queries() | version_queries.queries() | order_queries.queries() | table_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import introspect_queries, operator_queries, order_queries, routine_queries, schema_queries, search_queries, version_queries
+    from . import introspect_queries, operator_queries, order_queries, routine_queries, schema_queries, search_queries, table_queries, version_queries
 
-    return {name: twin for name, (_, _, twin) in (SQL | dialect_queries.SQL).items()} | operator_queries.oracle_sql() | schema_queries.oracle_sql() | routine_queries.oracle_sql() | introspect_queries.oracle_sql() | search_queries.oracle_sql() | version_queries.oracle_sql() | order_queries.oracle_sql()
+    return {name: twin for name, (_, _, twin) in (SQL | dialect_queries.SQL).items()} | operator_queries.oracle_sql() | schema_queries.oracle_sql() | routine_queries.oracle_sql() | introspect_queries.oracle_sql() | search_queries.oracle_sql() | version_queries.oracle_sql() | order_queries.oracle_sql() | table_queries.oracle_sql()
