@@ -139,5 +139,5 @@ def test_entry_registers_everything():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert [int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))] == list(range(1, 11)) and "pipeline" in names
+    assert [int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))] == list(range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
