@@ -97,8 +97,12 @@ class JdbcSource:
         return self.spark.read.jdbc(self.url, self.qualified(table), predicates=self.predicates(key, key_ranges(low, high, self.width)), properties=self.properties)
 
 
-def dictionary_views(spark: SparkSession, database: str | None = None) -> None:
-    """Oracle's dictionary views all_tables, all_tab_columns, all_objects and all_tab_comments, and all_col_comments, over the session's catalog."""
+def dictionary_views(spark: SparkSession, database: str | None = None, plan=None) -> None:
+    """Oracle's dictionary views over the session's catalog: objects, tables, columns, comments, indexes and their columns, as ALL_, DBA_ and USER_ (without an owner).
+
+    plan: a SchemaPlan, whose keys are the indexes; the catalog has none.
+    Rows are as many as the definitions.
+    """
     database = database or spark.catalog.currentDatabase()
     tables, columns = [], []
     for t in spark.catalog.listTables(database):
@@ -108,8 +112,22 @@ def dictionary_views(spark: SparkSession, database: str | None = None) -> None:
             columns.append((database.upper(), t.name.upper(), f.name.upper(), f.dataType.upper(), i, "Y" if f.nullable else "N", f.description))
     t = spark.createDataFrame(tables, "owner string, object_name string, object_type string, comments string")
     c = spark.createDataFrame(columns, "owner string, table_name string, column_name string, data_type string, column_id int, nullable string, comments string")
-    t.drop("comments").createOrReplaceTempView("all_objects")
-    t.where("object_type = 'TABLE'").select("owner", F.col("object_name").alias("table_name")).createOrReplaceTempView("all_tables")
-    t.select("owner", F.col("object_name").alias("table_name"), F.col("object_type").alias("table_type"), "comments").createOrReplaceTempView("all_tab_comments")
-    c.drop("comments").createOrReplaceTempView("all_tab_columns")
-    c.select("owner", "table_name", "column_name", "comments").createOrReplaceTempView("all_col_comments")
+    indexes, parts = [], []
+    for table in plan.tables.values() if plan is not None else ():
+        for n, k in enumerate(table.keys, 1):
+            name = (k.name or f"{table.name}_{'pk' if k.kind == 'primary' else n}").upper()
+            indexes.append((database.upper(), name, database.upper(), table.name.upper(), "NONUNIQUE" if k.kind == "index" else "UNIQUE", "DOMAIN" if k.method in ("fulltext", "spatial", "vector") else "BITMAP" if k.method == "bitmap" else "NORMAL"))
+            parts += [(database.upper(), name, database.upper(), table.name.upper(), c.upper(), i, "ASC") for i, c in enumerate(k.columns, 1)]
+    owned = {
+        "objects": t.drop("comments"),
+        "tables": t.where("object_type = 'TABLE'").select("owner", F.col("object_name").alias("table_name")),
+        "tab_comments": t.select("owner", F.col("object_name").alias("table_name"), F.col("object_type").alias("table_type"), "comments"),
+        "tab_columns": c.drop("comments"),
+        "col_comments": c.select("owner", "table_name", "column_name", "comments"),
+        "indexes": spark.createDataFrame(indexes, "owner string, index_name string, table_owner string, table_name string, uniqueness string, index_type string"),
+        "ind_columns": spark.createDataFrame(parts, "index_owner string, index_name string, table_owner string, table_name string, column_name string, column_position int, descend string"),
+    }
+    for name, df in owned.items():
+        for scope in ("all", "dba"):
+            df.createOrReplaceTempView(f"{scope}_{name}")
+        df.drop("owner", "index_owner").createOrReplaceTempView(f"user_{name}")

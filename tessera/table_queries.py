@@ -15,7 +15,7 @@ from .plans.runner import Blocked, Migration
 from .schema.plan import plan_schema
 from .shared import shared_dir
 from .sources.introspect import introspect, schemas, script
-from .sources.tables import ParquetSource
+from .sources.tables import ParquetSource, dictionary_views
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -119,6 +119,17 @@ def introspected_then_copied(spark, d):
     return out.unionByName(spark.table("busy").agg(F.count(F.lit(1)).alias("n")).select(F.lit("busy").alias("name"), "n", F.lit(2).alias("cols")))
 
 
+def dictionary_indexes(spark, d):
+    """Indexes of a script in the dictionary, and how many values their columns hold in the table's rows."""
+    plan = plan_schema("CREATE TABLE part (p_partkey BIGINT PRIMARY KEY, p_brand VARCHAR(20), p_size INT, p_name VARCHAR(60), KEY k_brand (p_brand, p_size), UNIQUE KEY u_name (p_name), FULLTEXT KEY f_name (p_name));", "mysql")
+    _t(spark, d, "part").createOrReplaceTempView("part")
+    dictionary_views(spark, plan=plan)
+    found = query(spark, "SELECT c.index_name AS idx, c.column_name AS col, c.column_position AS pos, i.uniqueness AS uq, i.index_type AS kind FROM user_ind_columns c JOIN dba_indexes i ON c.index_name = i.index_name WHERE c.table_name = 'PART'", "oracle")
+    kinds = spark.table("part").agg(*[F.count_distinct(c).alias(c.upper()) for c in ("p_partkey", "p_brand", "p_size", "p_name")])
+    kinds = kinds.unpivot([], kinds.columns, "col", "held")
+    return found.join(kinds, "col")
+
+
 def database_twice_then_filled(spark, d):
     """A database that is there is left as it is: what was written between two calls stays."""
     name = f"db_{uuid.uuid4().hex[:12]}"
@@ -184,7 +195,7 @@ def dual_beside_rows(spark, d):
     return query(spark, "SELECT (SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'F') AS f, (SELECT MAX(o_orderkey) FROM orders) AS top, d.dummy AS x FROM dual d", "oracle")
 
 
-_ALL = (alter_then_fill, rename_drop_then_read, comments_on_columns, introspected_then_copied, database_twice_then_filled, run_after_gate, exception_from_rows, package_over_rows, collections_over_rows, dual_beside_rows)
+_ALL = (alter_then_fill, rename_drop_then_read, comments_on_columns, introspected_then_copied, dictionary_indexes, database_twice_then_filled, run_after_gate, exception_from_rows, package_over_rows, collections_over_rows, dual_beside_rows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -198,6 +209,8 @@ def oracle_sql() -> dict[str, str]:
         "rename_drop_then_read": "SELECT 'country' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'big', CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM nation GROUP BY n_regionkey HAVING count(*) > 4)",
         "comments_on_columns": "SELECT 'p_size' AS col, 'how large' AS said, count(DISTINCT p_size) AS kinds FROM part UNION ALL SELECT 'p_brand', 'who made it', count(DISTINCT p_brand) FROM part",
         "introspected_then_copied": f"SELECT 'nation' AS name, count(*) AS n, CAST({cols('nation')} AS INTEGER) AS cols FROM nation UNION ALL SELECT 'supplier', count(*), CAST({cols('supplier')} AS INTEGER) FROM supplier UNION ALL SELECT 'orders', count(*), CAST({cols('orders')} AS INTEGER) FROM orders UNION ALL SELECT 'busy', count(*), 2 FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 3)",
+        "dictionary_indexes": "SELECT idx, col, CAST(pos AS INTEGER) AS pos, uq, kind, CASE col WHEN 'P_PARTKEY' THEN a WHEN 'P_BRAND' THEN b WHEN 'P_SIZE' THEN c ELSE d END AS held FROM (VALUES ('PART_PK', 'P_PARTKEY', 1, 'UNIQUE', 'NORMAL'), ('K_BRAND', 'P_BRAND', 1, 'NONUNIQUE', 'NORMAL'), ('K_BRAND', 'P_SIZE', 2, 'NONUNIQUE', 'NORMAL'), ('U_NAME', 'P_NAME', 1, 'UNIQUE', 'NORMAL'), ('F_NAME', 'P_NAME', 1, 'NONUNIQUE', 'DOMAIN')) t(idx, col, pos, uq, kind), "
+        "(SELECT count(DISTINCT p_partkey) AS a, count(DISTINCT p_brand) AS b, count(DISTINCT p_size) AS c, count(DISTINCT p_name) AS d FROM part)",
         "database_twice_then_filled": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
         "run_after_gate": "SELECT 'nation' AS name, count(*) AS n, 1 AS blocked, 0 AS before FROM nation UNION ALL SELECT 'supplier', count(*), 1, 0 FROM supplier",
         "exception_from_rows": "SELECT count(*) || ' customers' || '-20007' AS said FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1",
