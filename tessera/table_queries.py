@@ -80,6 +80,35 @@ def comments_on_columns(spark, d):
     return out
 
 
+def table_as_select(spark, d):
+    """A table that a script makes from a query, read by a view of the same script; a second one declares its columns."""
+    for t in ("orders", "customer"):
+        _t(spark, d, t).createOrReplaceTempView(t)
+    ddl = "CREATE TABLE busy AS SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey; CREATE TABLE named (id BIGINT, who VARCHAR(40)) AS SELECT c_custkey, UPPER(c_name) FROM customer; CREATE VIEW both_of AS SELECT who, n FROM named JOIN busy ON k = id WHERE n > 2;"
+    plan = plan_schema(ddl, "mysql")
+    for name, p in plan.tables.items():
+        p.selected(spark).createOrReplaceTempView(name)
+    spark.sql(plan.views["both_of"].replace("CREATE OR REPLACE VIEW", "CREATE OR REPLACE TEMPORARY VIEW", 1))
+    return spark.table("both_of")
+
+
+def object_methods(spark, d):
+    """Objects made from columns: attributes, a method with a branch, one that calls for an argument, and one object inside another."""
+    _t(spark, d, "customer").createOrReplaceTempView("customer")
+    ddl = (
+        "CREATE TYPE money AS OBJECT (amount NUMBER(12,2), unit VARCHAR2(3), MEMBER FUNCTION rated RETURN VARCHAR2, MEMBER FUNCTION less(part NUMBER) RETURN NUMBER); / "
+        "CREATE TYPE BODY money AS MEMBER FUNCTION rated RETURN VARCHAR2 IS BEGIN IF SELF.amount < 0 THEN RETURN 'owes'; END IF; RETURN unit || '+'; END; MEMBER FUNCTION less(part NUMBER) RETURN NUMBER IS BEGIN RETURN amount - amount * part; END; END; / "
+        "CREATE TYPE client AS OBJECT (id NUMBER(10), held money);"
+    )
+    plan = plan_schema(ddl, "oracle")
+    return query(
+        spark,
+        "SELECT t.c.id AS id, t.c.held.unit AS unit, t.c.held.rated() AS rated, ROUND(CAST(t.c.held.less(0.5) AS BINARY_DOUBLE), 3) AS half FROM (SELECT client(c_custkey, money(c_acctbal, SUBSTR(c_mktsegment, 1, 3))) AS c FROM customer) t WHERE t.c.held.less(0.1) < 5000",
+        "oracle",
+        objects=plan.objects,
+    ).selectExpr("CAST(id AS BIGINT) AS id", "unit", "rated", "half")
+
+
 # --- catalogs from the tables' own schemas ------------------------------------------------
 
 
@@ -195,7 +224,7 @@ def dual_beside_rows(spark, d):
     return query(spark, "SELECT (SELECT COUNT(*) FROM orders WHERE o_orderstatus = 'F') AS f, (SELECT MAX(o_orderkey) FROM orders) AS top, d.dummy AS x FROM dual d", "oracle")
 
 
-_ALL = (alter_then_fill, rename_drop_then_read, comments_on_columns, introspected_then_copied, dictionary_indexes, database_twice_then_filled, run_after_gate, exception_from_rows, package_over_rows, collections_over_rows, dual_beside_rows)
+_ALL = (alter_then_fill, rename_drop_then_read, comments_on_columns, table_as_select, object_methods, introspected_then_copied, dictionary_indexes, database_twice_then_filled, run_after_gate, exception_from_rows, package_over_rows, collections_over_rows, dual_beside_rows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -207,6 +236,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "alter_then_fill": "SELECT s_nationkey, CAST(sum(CAST(round(s_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n, (SELECT count(*) FROM supplier WHERE round(s_acctbal, 2) <= 0) AS broken FROM supplier GROUP BY s_nationkey",
         "rename_drop_then_read": "SELECT 'country' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'big', CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM nation GROUP BY n_regionkey HAVING count(*) > 4)",
+        "table_as_select": "SELECT upper(c_name) AS who, n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey WHERE n > 2",
+        "object_methods": "SELECT c_custkey AS id, substr(c_mktsegment, 1, 3) AS unit, CASE WHEN b < 0 THEN 'owes' ELSE substr(c_mktsegment, 1, 3) || '+' END AS rated, round(CAST(b AS DOUBLE) * 0.5, 3) AS half FROM (SELECT *, CAST(c_acctbal AS DECIMAL(12, 2)) AS b FROM customer) WHERE b * 0.9 < 5000",
         "comments_on_columns": "SELECT 'p_size' AS col, 'how large' AS said, count(DISTINCT p_size) AS kinds FROM part UNION ALL SELECT 'p_brand', 'who made it', count(DISTINCT p_brand) FROM part",
         "introspected_then_copied": f"SELECT 'nation' AS name, count(*) AS n, CAST({cols('nation')} AS INTEGER) AS cols FROM nation UNION ALL SELECT 'supplier', count(*), CAST({cols('supplier')} AS INTEGER) FROM supplier UNION ALL SELECT 'orders', count(*), CAST({cols('orders')} AS INTEGER) FROM orders UNION ALL SELECT 'busy', count(*), 2 FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 3)",
         "dictionary_indexes": "SELECT idx, col, CAST(pos AS INTEGER) AS pos, uq, kind, CASE col WHEN 'P_PARTKEY' THEN a WHEN 'P_BRAND' THEN b WHEN 'P_SIZE' THEN c ELSE d END AS held FROM (VALUES ('PART_PK', 'P_PARTKEY', 1, 'UNIQUE', 'NORMAL'), ('K_BRAND', 'P_BRAND', 1, 'NONUNIQUE', 'NORMAL'), ('K_BRAND', 'P_SIZE', 2, 'NONUNIQUE', 'NORMAL'), ('U_NAME', 'P_NAME', 1, 'UNIQUE', 'NORMAL'), ('F_NAME', 'P_NAME', 1, 'NONUNIQUE', 'DOMAIN')) t(idx, col, pos, uq, kind), "
