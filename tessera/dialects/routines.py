@@ -67,14 +67,25 @@ class Bulk:
 
     def __init__(self, frame: DataFrame, column: str):
         self.frame, self.column, self._values = frame, column, None
+        self._count, self._block = None, (-1, {})
 
     def values(self) -> list:
         if self._values is None:
             self._values = [r[0] for r in self.frame.orderBy("i").select(self.column).collect()]
         return self._values
 
+    def at(self, i: int):
+        """One element; the driver holds the 1,000 around the last that was asked for."""
+        k = (i - 1) // 1_000
+        if self._block[0] != k:
+            rows = self.frame.where(F.col("i").between(k * 1_000 + 1, (k + 1) * 1_000)).select("i", self.column).collect()
+            self._block = (k, {r[0]: r[1] for r in rows})
+        return self._block[1].get(i)
+
     def __len__(self) -> int:
-        return len(self._values) if self._values is not None else self.frame.count()
+        if self._count is None:
+            self._count = self.frame.count()
+        return self._count
 
 
 @dataclass
@@ -259,10 +270,9 @@ class Routines:
                 name = [p.lower() for p in n.name]
                 if len(name) == 1 and (at := frame.holder(name[0])) is not None and isinstance(at.own[name[0]], (list, Bulk)) and len(n.args) == 1:
                     v, i = at.own[name[0]], int(self.value(n.args[0], frame))
-                    own = v if isinstance(v, list) else v.values()
-                    if not 1 <= i <= len(own):
+                    if not 1 <= i <= len(v):
                         raise Raised("subscript_beyond_count", -6533)
-                    return literal(own[i - 1])
+                    return literal(v[i - 1] if isinstance(v, list) else v.at(i))
                 if len(name) == 2 and name[1] in ("exists", "next", "prior", "count", "first", "last") and (at := frame.holder(name[0])) is not None and isinstance(at.own[name[0]], (list, Bulk)):
                     size = len(at.own[name[0]])
                     i = int(self.value(n.args[0], frame)) if n.args else 0
@@ -478,7 +488,12 @@ class Routines:
             tree = N.replace(tree, where=N.Exists(N.Select((N.Item(N.Lit("number", "1")),), over, turn(tree.where))))
         else:
             raise SqlError("FORALL takes INSERT, UPDATE and DELETE")
+        if isinstance(tree, (N.Update, N.Delete)):
+            tied = [c for c in N.conjuncts(tree.where.query.where if isinstance(tree, N.Delete) else tree.where) if isinstance(c, N.Binary) and c.op == "=" and any(isinstance(n, N.Name) and n.parts[0] == "_f" for n in N.every(c))]
+            if not tied:
+                self.notes.append("FORALL without an equality with an element compares every row with every element")
         self.change(tree, frame)
+        self.spark.catalog.dropTempView(view)
         if self.bulk_errors:
             raise Raised("bulk_errors", _CODES["bulk_errors"], "errors in array DML")
 
@@ -1037,7 +1052,10 @@ class _Compiler(Parser):
             def put(f):
                 v = self.evaluated(e, f)
                 if args:  # an element of a collection
-                    own, i = f.get(path[0]), int(self.s.value(args[0], f))
+                    own, i = f.get(path[0]), self.s.value(args[0], f)
+                    if isinstance(i, str) and not i.lstrip("-").isdigit():
+                        raise SqlError(f"{path[0]}('{i}'): collections are indexed by numbers here")
+                    i = int(i)
                     own = own if isinstance(own, list) else list(own.values()) if own is not None else []
                     own += [None] * (i - len(own))
                     own[i - 1] = v
