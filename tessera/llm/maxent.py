@@ -50,8 +50,9 @@ class Size(NamedTuple):
         return self.classes * self.members
 
 
-#: Words of the corpus for each bucket of the previous token, about, and the bounds of their number: at 4,096 a task counts in 26 MB.
-WORDS_A_BUCKET, LEAST_NEAR, MOST_NEAR = 1_500, 64, 4_096
+#: Words of the corpus for each bucket of the previous token, about, and the bounds of their number: at 1,024 a task counts in 7 MB and a round sends
+#: the tasks 7 MB of weights.
+WORDS_A_BUCKET, LEAST_NEAR, MOST_NEAR = 1_500, 64, 1_024
 
 
 def size_for(docs: DataFrame, text_col: str = "text") -> Size:
@@ -216,17 +217,22 @@ def trained(counts: DataFrame, rounds: int = ROUNDS, size: Size = SIZE) -> Weigh
     takes scaled steps toward those seen.
 
     A round sends the driver each near bucket's own features once and the shared ones once a task: 5 MB for 8 tasks at
-    256 buckets, 30 MB at the most that size_for() gives.
+    256 buckets, 20 MB at the most that size_for() gives.
     """
     w = Weights(size)
     shared, own = ("bias", "skip", "pair", "member"), ("near", "near_member")
-    counts = counts.coalesce(8)
+    counts, sc = counts.coalesce(8), counts.sparkSession.sparkContext
 
     def job(w, expected):
-        """Sums of each feature over the counts seen, or over those expected under w."""
+        """Sums of each feature over the counts seen, or over those expected under w. The weights go out in single precision, and their files go when the round ends."""
+        sent = sc.broadcast({k: getattr(w, k).astype(np.float32) for k in (*shared, *own)}) if expected else None
 
         def fn(batches):
             sums, rows = Weights(size), []
+            if expected:
+                w = Weights(size)
+                for k, v in sent.value.items():
+                    setattr(w, k, v.astype(float))
             for b in batches:
                 for near, c, s in zip(*(b.column(k).to_pylist() for k in ("near", "classes", "slots"))):
                     c, s = _unpacked(c).reshape(size.skip, size.classes), _unpacked(s)
@@ -247,6 +253,8 @@ def trained(counts: DataFrame, rounds: int = ROUNDS, size: Size = SIZE) -> Weigh
         for k, at, blob in sorted(zip(got["field"], got["at"], got["value"])):  # sorted: reruns agree
             into = out[k] if at < 0 else out[k][at]
             into += np.frombuffer(blob, np.float32).reshape(into.shape)
+        if sent is not None:
+            sent.destroy(blocking=True)
         return out
 
     seen = job(w, False)
