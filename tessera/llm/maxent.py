@@ -216,12 +216,12 @@ def trained(counts: DataFrame, rounds: int = ROUNDS, size: Size = SIZE) -> Weigh
     """Gradient updates on the log-likelihood: tasks add up the counts of each feature that the model expects, the driver
     takes scaled steps toward those seen.
 
-    A round sends the driver each near bucket's own features once and the shared ones once a task: 5 MB for 8 tasks at
-    256 buckets, 20 MB at the most that size_for() gives.
+    A round sends the driver each near bucket's own features once and the shared ones once a task: 3 MB for 4 tasks at
+    256 buckets, 13 MB at the most that size_for() gives.
     """
     w = Weights(size)
     shared, own = ("bias", "skip", "pair", "member"), ("near", "near_member")
-    counts, sc = counts.coalesce(8), counts.sparkSession.sparkContext
+    counts, sc = counts.coalesce(4), counts.sparkSession.sparkContext
 
     def job(w, expected):
         """Sums of each feature over the counts seen, or over those expected under w. The weights go out in single precision, and their files go when the round ends."""
