@@ -12,6 +12,7 @@ import os
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -236,6 +237,37 @@ def _first_rows(spark, tree, dialect, first, target) -> tuple[DataFrame, str, Da
     return keyed, view, _materialized(_select(spark, query, dialect))
 
 
+def _by_joins(spark: SparkSession, tree, dialect: str):
+    """A condition whose x IN (query) and x NOT IN (query) are told by EXISTS over an equality, so that they are joins by key, wherever they stand.
+
+    Spark compares every pair of rows where NOT IN is part of a larger
+    condition, and sends the query's rows whole to every task where it is not.
+    NULLs count as SQL has it: nothing is in no rows; otherwise what is not
+    found is unknown where it, or one of the rows, is NULL.  Queries that read
+    the outer row, and rows of several columns, stay as they are.
+    """
+
+    def told(n):
+        if not isinstance(n, N.In) or n.query is None or isinstance(n.arg, N.Row):
+            return n
+        try:
+            rows = _select(spark, n.query, dialect)
+        except AnalysisException:  # it reads the outer row
+            return n
+        if len(rows.columns) != 1:
+            return n
+        view = _view(rows.toDF("_in"))
+        source, own = N.Table((view,), "_q"), N.Name(("_q", "_in"))
+        count = lambda x: N.Sub(N.Select((N.Item(N.Func(("count",), (x,)), "n"),), N.Table((view,))))
+        number = lambda x: N.Lit("number", x)
+        found = N.Exists(N.Select((N.Item(number("1"), "x"),), source, N.Binary("=", own, n.arg)))
+        unknown = N.Binary("OR", N.Is(n.arg, "NULL"), N.Binary("<", count(N.Name(("_in",))), count(N.Star())))
+        whens = ((N.Binary("=", count(N.Star()), number("0")), N.Lit("bool", n.negated)), (found, N.Lit("bool", not n.negated)), (unknown, N.Lit("null")))
+        return N.Case(None, whens, N.Lit("bool", n.negated))
+
+    return N.walk(tree, told)
+
+
 def _with_key(df: DataFrame) -> DataFrame:
     """Rows with a number. The numbered rows are checkpointed, as both sides of a join must see the same numbers."""
     return df.withColumn("_row", F.monotonically_increasing_id())
@@ -299,7 +331,7 @@ def _update_by_query(spark, tree, dialect, first, target) -> Change:
                 one = N.Case(None, ((several, N.Func(("raise_error",), (N.Lit("string", "a subquery for one row gives several"),))),), one)
                 packed = N.replace(packed, items=(N.Item(one, "_s"),)) if not any(isinstance(n, N.Func) and n.upper in ("MAX", "MIN", "SUM", "COUNT", "AVG") for x in q.items for n in N.every(x.expr)) else packed
             items.append(N.Item(N.Sub(packed), f"_v{i}"))
-    hits = _select(spark, N.Select(tuple(items), source, tree.where), dialect)
+    hits = _select(spark, N.Select(tuple(items), source, _by_joins(spark, tree.where, dialect)), dialect)
     return _apply(keyed, hits, tree, target)
 
 
@@ -345,8 +377,9 @@ def delete(spark: SparkSession, tree: N.Delete, dialect: str) -> Change:
         return Change(own.where(~hit).select(*target.columns), gone, _gone(gone, target))
     if len(tables) == 1:  # a condition with subqueries: rows for which it is not true stay
         own = N.Select((N.Item(N.Star()),), N.Table((_view(target),), _alias(first)))
-        gone = _select(spark, N.replace(own, where=tree.where), dialect)
-        return Change(_select(spark, N.replace(own, where=N.Is(N.Row((tree.where,)), "TRUE", None, True)), dialect), gone, _gone(gone, target))
+        where = _by_joins(spark, tree.where, dialect)
+        gone = _select(spark, N.replace(own, where=where), dialect)
+        return Change(_select(spark, N.replace(own, where=N.Is(N.Row((where,)), "TRUE", None, True)), dialect), gone, _gone(gone, target))
     keyed = _materialized(_with_key(target))
     view = _view(keyed)
     source = N.walk(tree.source, lambda n: N.Table((view,), _alias(first)) if n == first else n)

@@ -144,3 +144,31 @@ def test_repeated_keys_of_a_query_are_an_error(spark):
     change = dml.execute(spark, "INSERT INTO it SELECT k, v FROM iq ON DUPLICATE KEY UPDATE v = VALUES(v)", "mysql", keys=["k"])
     with pytest.raises(Exception, match="share a key"):
         change.table.collect()
+
+
+def test_delete_and_update_by_subqueries_join_by_key(spark):
+    """NOT IN and IN with NULLs on either side and over no rows, alone and inside a condition; nothing compares all pairs."""
+    left, right = [1, 2, 3, None], {"some": [1, 3], "nulls": [1, None], "none": []}
+    spark.createDataFrame([(k, "a") for k in left], "k int, v string").createOrReplaceTempView("jt")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    for name, own in right.items():
+        spark.createDataFrame([(k,) for k in own], "k int").createOrReplaceTempView("js")
+        into = lambda k: False if not own else True if k is not None and k in own else None if k is None or None in own else False
+        opposite = lambda x: None if x is None else not x
+        for sql, holds in (("k NOT IN (SELECT k FROM js)", lambda k: opposite(into(k))), ("k IN (SELECT k FROM js)", into), ("k = 2 OR k NOT IN (SELECT k FROM js)", lambda k: True if k == 2 else opposite(into(k))), ("NOT (k IN (SELECT k FROM js WHERE k > 0))", None)):
+            if holds is None:
+                full = [x for x in own if x]
+                holds = lambda k, full=full: True if not full else None if k is None else k not in full
+            change = dml.execute(spark, f"DELETE FROM jt WHERE {sql}", "oracle")
+            assert sorted((r.k for r in change.table.collect()), key=repr) == sorted((k for k in left if holds(k) is not True), key=repr), (name, sql)
+            assert sorted((r.k for r in change.changed.collect()), key=repr) == sorted((k for k in left if holds(k) is True), key=repr), (name, sql)
+            assert "NestedLoop" not in change.table._jdf.queryExecution().explainString(mode).replace("BroadcastNestedLoopJoin BuildRight, Inner", "")
+            done = dml.execute(spark, f"UPDATE jt SET v = 'b' WHERE {sql}", "oracle").table.where("v = 'b'").collect()
+            assert sorted((r.k for r in done), key=repr) == sorted((k for k in left if holds(k) is True), key=repr), (name, sql)
+
+
+def test_delete_by_a_subquery_of_the_outer_row(spark):
+    spark.createDataFrame([(1, 5), (2, 6), (3, None)], "k int, w int").createOrReplaceTempView("ct")
+    spark.createDataFrame([(1, 5), (2, 7), (3, 1)], "k2 int, w2 int").createOrReplaceTempView("cs")
+    change = dml.execute(spark, "DELETE FROM ct WHERE w IN (SELECT w2 FROM cs WHERE k2 = k)", "mysql")
+    assert sorted(r.k for r in change.table.collect()) == [2, 3]
