@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tessera.dialects import query, translate
 from tessera.dialects.lexer import SqlError
@@ -176,3 +178,40 @@ def test_large_cells_are_dealt_in_blocks(spark, monkeypatch):
     assert max(index.blocks) > 2
     got = [r.neighbour for r in index.search(df.where("id = 0"), "id", "v", 4).orderBy("place").collect()]
     assert got == [0, 3, 6, 9]
+
+
+def test_searches_meet_in_blocks_and_keep_ties_exact(spark, monkeypatch):
+    """Copies of vectors, zero, huge and odd queries: what distance_sql() says of every pair, and no pair is a row of the plan."""
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    monkeypatch.setattr(vectors, "SHARE", 64)
+    rng = np.random.default_rng(3)
+    x = [[float(c) for c in v] for v in rng.normal(size=(40, 5)) / 3] + [[0.0] * 5, [1e-170] * 5, [0.1] * 5]
+    rows = [(f"k{i:03d}", x[i % len(x)]) for i in range(215)]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    odd = [("inf", [float("inf"), 0.0, 0.0, 0.0, 0.0]), ("nan", [float("nan")] * 5), ("null", [None, 1.0, 1.0, 1.0, 1.0]), ("short", [1.0]), ("big", [1e200] * 5)]
+    asked = df.where("id like '%0'").union(spark.createDataFrame(odd, "id string, v array<double>"))
+    for metric in ("euclidean", "cosine", "dot"):
+        index = vectors.build(df, "id", "v", metric, cells=6)
+        assert max(s + b for s, b in zip(index.shards, index.blocks)) > 2
+        told = F.expr(vectors.distance_sql("a.v", "b.v", metric))
+        order = Window.partitionBy("query").orderBy(F.col("distance").asc_nulls_last(), "neighbour")
+        pairs = asked.alias("a").crossJoin(df.alias("b")).select(F.col("a.id").alias("query"), F.col("b.id").alias("neighbour"), told.alias("distance"))
+        want = pairs.withColumn("place", F.row_number().over(order)).where("place <= 7")
+        found = index.search(asked, "id", "v", 7)
+        key = lambda r: (r.query, r.place, r.neighbour, repr(r.distance))
+        assert sorted(map(key, found.collect())) == sorted(map(key, want.collect()))
+        assert "aggregate(" not in found._jdf.queryExecution().toString()
+        near = index.search(df.where("id like '%0'"), "id", "v", 7, 2)
+        cells = spark.read.parquet(index.path).select("key", "cell").collect()
+        home = {r.key: r.cell for r in cells}
+        unit = metric == "cosine"
+        true = {q: [] for q, _ in rows if q.endswith("0")}
+        own = dict(rows)
+        for r in sorted((r for r in pairs.collect() if r.query in true), key=lambda r: (r.distance is None, r.distance or 0.0, r.neighbour)):
+            v = np.array([own[r.query]])
+            if home[r.neighbour] in vectors._nearest(vectors._unit(v) if unit else v, index.centres, 2)[0]:
+                true[r.query].append(r.neighbour)
+        got = {}
+        for r in near.orderBy("place").collect():
+            got.setdefault(r.query, []).append(r.neighbour)
+        assert got == {q: t[:7] for q, t in true.items() if t}
