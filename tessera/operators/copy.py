@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coerce import coerce, lost
-from .ranges import WIDTH, batch_of, wide_enough
+from .ranges import WIDTH, batch_of, batches_together
 
 BATCH = "_batch"
+#: Neighbouring batches that lie in one folder, where a folder for each would be too many.
+GROUP = "_group"
 #: Where a copy keeps its plan, below the table's path; readers of the table skip names that begin so.
 PLAN = "_plan"
 
@@ -36,21 +38,24 @@ def coerced(df: DataFrame, target: dict[str, str]) -> DataFrame:
 def copy_table(df: DataFrame, path: str, target: dict[str, str], key: str | None = None, width: int = WIDTH, only: list[int] | None = None) -> CopyResult:
     """Writes a table in one job, which also counts its rows and losses.
 
-    With a key, rows are partitioned by batch number, which is the key by a
-    width, counted from 0.  The first copy fixes the width (wider than asked
-    for where the keys would make too many batches) and keeps it beside the
-    data, so a replay (`only`: batch numbers) means the same keys whatever has
-    arrived meanwhile, and dynamic overwrite replaces just those batches.
-    Without `only` the whole table is replaced.
+    With a key, rows are partitioned by batch number, which is the key by the
+    width asked for, counted from 0.  The first copy keeps the width beside
+    the data, so a replay (`only`: batch numbers) means the same keys whatever
+    has arrived meanwhile, and dynamic overwrite replaces just those batches.
+    Where the keys make more than 10,000 batches, neighbouring ones lie in one
+    folder: a replay writes the folders of its batches anew, with the other
+    batches' rows as they stand there.  Without `only` the whole table is
+    replaced.
     """
     spark = df.sparkSession
     by = {c.lower(): c for c in df.columns}
     if key is not None:
         if only is not None:
-            width = spark.read.parquet(f"{path}/{PLAN}").first().width
+            plan = spark.read.parquet(f"{path}/{PLAN}").first()
+            width, together = plan.width, plan.together
             df = df.where(batch_of(F.col(key), width).isin(only))
         else:
-            width = wide_enough(*df.agg(F.min(key), F.max(key)).first(), width)
+            together = batches_together(*df.agg(F.min(key), F.max(key)).first(), width)
     known = {n: by[n.lower()] for n in target if n.lower() in by}
     losses = [F.coalesce(F.sum(lost(F.col(f"`{c}`"), coerce(F.col(f"`{c}`"), df.schema[c].dataType, target[n]))), F.lit(0)).alias(f"lost_{n}") for n, c in known.items()]
     seen = Observation()
@@ -60,11 +65,17 @@ def copy_table(df: DataFrame, path: str, target: dict[str, str], key: str | None
     else:
         cols = [F.col(c) for c in target]
         own = coerced(df.withColumn(BATCH, batch_of(F.col(key), width)), target | {BATCH: "bigint"}).select(*cols, BATCH)
-        own = own.hint("rebalance", BATCH)  # a batch is a few files, not one of every task
+        folder = BATCH
+        if together > 1:
+            folder, own = GROUP, own.withColumn(GROUP, F.floor(F.col(BATCH) / together).cast("long"))
+            if only is not None:  # the folders' other batches stay; dynamic overwrite takes the old files away when all new ones are written
+                beside = spark.read.schema(own.schema).parquet(path).where(F.col(GROUP).isin(sorted({b // together for b in only})) & ~F.col(BATCH).isin(only))
+                own = own.unionByName(beside)
+        own = own.hint("rebalance", folder)  # a folder is a few files, not one of every task
         mode = "static" if only is None else "dynamic"
-        own.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(BATCH).parquet(path)
+        own.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(folder).parquet(path)
         if only is None:
-            spark.createDataFrame([(key, width)], "key string, width long").coalesce(1).write.mode("overwrite").parquet(f"{path}/{PLAN}")
+            spark.createDataFrame([(key, width, together)], "key string, width long, together long").coalesce(1).write.mode("overwrite").parquet(f"{path}/{PLAN}")
     try:
         got = seen.get
     except Py4JJavaError:  # a plan that is empty from the start runs no job that could be observed
@@ -89,4 +100,4 @@ def validate(source: DataFrame, target: DataFrame, columns: list[str] | None = N
 
 def read_copy(spark: SparkSession, path: str) -> DataFrame:
     """A copied table without its batch numbers."""
-    return spark.read.parquet(path).drop(BATCH)
+    return spark.read.parquet(path).drop(BATCH, GROUP)

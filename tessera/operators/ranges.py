@@ -51,6 +51,17 @@ def wide_enough(low, high, width: int = WIDTH, most: int = MOST) -> int:
     return width
 
 
+def batches_together(low, high, width: int = WIDTH, most: int = MOST) -> int:
+    """How many neighbouring batches of a width lie together, so that [low, high] has at most `most` such groups."""
+    if low is None or high is None:
+        return 1
+    low, high = int(low // 1), int(high // 1)
+    many = max(1, -(-wide_enough(low, high, width, most) // width))
+    while high // (width * many) - low // (width * many) >= most:
+        many += 1
+    return many
+
+
 def key_ranges(low, high, width: int = WIDTH, most: int = MOST) -> list[Range]:
     """Ranges over [low, high]; at most `most`, so a sparse key does not give more ranges than a cluster can use. The outer ones are open."""
     if low is None or high is None:
