@@ -11,6 +11,8 @@ import re
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,15 +158,25 @@ def count_sql(leaf: Leaf, words: str) -> str:
 
 @dataclass(frozen=True)
 class FullText:
-    """An index: postings (word, key, positions), sorted by word and key, so that a search reads the files and row groups of its words alone."""
+    """An index: rows (word, keys, ends, positions), sorted by word and first key, so that a search reads the files and row groups of its words alone.
+
+    A row holds a word's postings in up to PACK documents: the documents'
+    keys and, one document after the other, the places of the word in them;
+    ends says where each one's places end.
+    """
 
     key: str
     columns: tuple[str, ...]
     path: str
     documents: int
 
-    def postings(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path)
+    def postings(self, spark: SparkSession, condition: Column | None = None) -> DataFrame:
+        """(word, key, positions), a row for each word and document."""
+        rows = spark.read.parquet(self.path)
+        rows = rows if condition is None else rows.where(condition)
+        rows = rows.select("word", "ends", "positions", F.posexplode("keys").alias("nth", "key"))
+        start = F.when(F.col("nth") == 0, 0).otherwise(F.get("ends", F.col("nth") - 1))
+        return rows.select("word", "key", F.slice("positions", start + 1, F.get("ends", "nth") - start).alias("positions"))
 
     def search(self, spark: SparkSession, parts: tuple[Part, ...], name: str | None = None) -> DataFrame:
         """(key, score) of the documents that a search finds, in no order.
@@ -178,7 +190,7 @@ class FullText:
         wanted = leaves(parts)
         if not wanted:
             return self.postings(spark).select(F.col("key").alias(name), F.lit(0.0).alias("score")).where("false")
-        rows = self.postings(spark).where(_any_word(wanted))
+        rows = self.postings(spark, _any_word(wanted))
         at = lambda leaf, k: f"max(CASE WHEN {_is(leaf, k)} THEN positions END)"
         slots = {}
         for i, leaf in enumerate(wanted):
@@ -219,14 +231,73 @@ def _any_word(wanted: list[Leaf]) -> Column:
     return out
 
 
+#: Documents, and words of documents, whose postings are packed together at most.
+PACK, PACK_WORDS = 10_000, 2_000_000
+
+
+def _packs(batches):
+    """Batches of (key, words) put together up to a pack; a longer document is a pack by itself."""
+    held, rows, words = [], 0, 0
+    for batch in batches:
+        at = 0
+        ends = np.cumsum(np.diff(np.asarray(batch.column(1).offsets))) if len(batch) else np.zeros(0, int)
+        while at < len(batch):
+            base = int(ends[at - 1]) if at else 0
+            upto = int(np.searchsorted(ends, base + PACK_WORDS - words, "right"))
+            end = min(len(batch), max(upto, at + (not rows)), at + PACK - rows)
+            if end > at:
+                held.append(batch.slice(at, end - at))
+                rows, words = rows + end - at, words + int(ends[end - 1]) - base
+            if end < len(batch):
+                yield pa.Table.from_batches(held)
+                held, rows, words = [], 0, 0
+            at = end
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _packed(batches):
+    """(word, keys, ends, positions) of each pack: words sorted, their documents by key, places ascending."""
+    for pack in _packs(batches):
+        pack = pack.sort_by("key").combine_chunks()
+        keys, lists = pack.column("key").combine_chunks(), pack.column("words").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            keys, lists = keys.chunk(0), lists.chunk(0)
+        sizes = np.diff(np.asarray(lists.offsets))
+        coded = lists.flatten().dictionary_encode()
+        codes = np.asarray(coded.indices)
+        if not len(codes):
+            continue
+        document = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.argsort(codes, kind="stable")  # documents and places of a word stay in order
+        codes, document, place = codes[order], document[order], place[order]
+        fresh = np.concatenate([[True], (codes[1:] != codes[:-1]) | (document[1:] != document[:-1])])
+        first = np.flatnonzero(fresh)  # of each posting
+        begins = np.flatnonzero(np.concatenate([[True], codes[first][1:] != codes[first][:-1]]))  # of each word, among postings
+        starts = first[begins]  # among places
+        ends = np.append(first[1:], len(codes)) - np.repeat(starts, np.diff(np.append(begins, len(first))))
+        by_posting = pa.array(np.append(begins, len(first)), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [
+                coded.dictionary.take(pa.array(codes[starts])),
+                pa.ListArray.from_arrays(by_posting, keys.take(pa.array(document[first]))),
+                pa.ListArray.from_arrays(by_posting, pa.array(ends, pa.int32())),
+                pa.ListArray.from_arrays(pa.array(np.append(starts, len(codes)), pa.int32()), pa.array(place, pa.int32())),
+            ],
+            ["word", "keys", "ends", "positions"],
+        )
+
+
 def build(df: DataFrame, key: str, columns: list[str], path: str | None = None) -> FullText:
     """Writes the index of some text columns and returns it.
 
     Texts of several columns are one text; null columns have no words, and a
     row without words counts as a document that nothing finds.  Rows without
     a key are left out; rows that share one would be taken for one document
-    and are an error.  The words of a document are grouped before they move,
-    so what is shuffled is a row for each word and document.
+    and are an error.  The postings of some PACK documents are packed by word
+    before they move, once, into ranges of words; a word of many documents has
+    many rows, so it may fill several ranges.
     """
     spark = df.sparkSession
     path = path or os.path.join(shared_dir(spark), f"fulltext-{uuid.uuid4().hex}")
@@ -234,6 +305,7 @@ def build(df: DataFrame, key: str, columns: list[str], path: str | None = None)
     total, distinct = rows.agg(F.count(F.lit(1)), F.count_distinct("key")).first()
     if total != distinct:
         raise ValueError(f"{key} is not a key: {total - distinct} rows repeat one")
-    postings = rows.select("key", F.posexplode("words").alias("at", "word")).groupBy("word", "key").agg(F.array_sort(F.collect_list("at")).alias("positions"))
-    postings.repartitionByRange("word", "key").sortWithinPartitions("word", "key").write.parquet(path)
+    schema = f"word string, keys array<{rows.schema['key'].dataType.simpleString()}>, ends array<int>, positions array<int>"
+    packed = rows.mapInArrow(_packed, schema)
+    packed.repartitionByRange("word", F.get("keys", F.lit(0))).sortWithinPartitions("word", F.get("keys", F.lit(0))).write.parquet(path)
     return FullText(key, tuple(columns), path, total)
