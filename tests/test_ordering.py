@@ -116,3 +116,27 @@ def test_number_masks():
             masks.oracle_pattern(dated)
     m = masks.number_mask("FM$9,990.09")
     assert (m.whole, m.forced, m.decimals, m.kept, m.grouped, m.dollar, m.fill) == (4, 1, 2, 1, True, True, True)
+
+
+def test_groups_frames_are_frames_of_a_table_of_groups(spark):
+    """NULL keys, empty frames and exclusions of every aggregate, against plain Python; no window sorts the rows themselves."""
+    rows = [(i, [None, "p", "q"][i % 3], [None, 1, 2, 2, 3, 5, 5][i % 7], None if i % 5 == 0 else i) for i in range(60)]
+    spark.createDataFrame(rows, "id int, p string, k int, x int").createOrReplaceTempView("grouped_rows")
+    shapes = {"GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING": (-1, 1), "GROUPS 2 PRECEDING": (-2, 0), "GROUPS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING": (-99, -2), "GROUPS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING": (1, 99)}
+    place = {None: 99, 1: 1, 2: 2, 3: 3, 5: 4}  # Oracle: NULL is high
+    for excluded in ("", " EXCLUDE GROUP", " EXCLUDE TIES"):
+        for shape, (low, high) in shapes.items():
+            over = f"OVER (PARTITION BY p ORDER BY k {shape}{excluded})"
+            df = query(spark, f"SELECT id, SUM(x) {over} AS s, COUNT(*) {over} AS c, COUNT(x) {over} AS n, MIN(x) {over} AS a, MAX(x) {over} AS b, AVG(x) {over} AS m FROM grouped_rows g WHERE id <> 7", "oracle")
+            plan = df._jdf.queryExecution().analyzed().toString()
+            assert "dense_rank" not in plan
+            for got in df.collect():
+                i, p, k, _ = rows[got.id]
+                same = [r for r in rows if r[1] == p and r[0] != 7]
+                groups = sorted({place[r[2]] for r in same})
+                at = groups.index(place[k])
+                near = {g for j, g in enumerate(groups) if at + low <= j <= at + high}
+                held = [r for r in same if place[r[2]] in near and not (excluded and place[r[2]] == place[k] and not (excluded.endswith("TIES") and r[0] == i))]
+                xs = [r[3] for r in held if r[3] is not None]
+                want = (sum(xs) if xs else None, len(held), len(xs), min(xs, default=None), max(xs, default=None), sum(xs) / len(xs) if xs else None)
+                assert tuple(got)[1:] == pytest.approx(want), (excluded, shape, got)
