@@ -3,8 +3,10 @@
 A token is held as one character, its id plus 256, so a sequence of tokens is
 a string and a pair of tokens a string of two.  The rank map, a literal, sends
 a pair to the token that it merges to; ids are ranks, so the least result is
-the pair to merge first.  A fold over the bytes of a word replaces that pair,
-left to right, until no pair is in the map.  A fold takes as many steps over as
+the pair to merge first.  A second literal has the one pair that merges to a
+token, so the least result says what to replace and nobody looks for its
+place.  A fold over the bytes of a word replaces that pair, left to right,
+until no pair is in the map.  A fold takes as many steps over as
 many pairs, so a word of more than LONG bytes (a blob, a run of spaces) is
 merged with a heap when its tokens are gathered, by the same pairs.
 
@@ -37,6 +39,8 @@ BUCKETS = 1 << 15
 GATHER, ROW = 6_000_000, 512
 #: Words of a text in a row at most, so that an Arrow batch is small however long the texts; rows whose words are numbered at a time.
 PIECE, STEP = 32, 10_000
+#: Tokens that are looked up at a time.
+TOKENS = 1_000_000
 #: Words of more bytes are merged with a heap.
 LONG = 128
 #: Marks of a token string: all merges done; none done.
@@ -101,12 +105,15 @@ class ByteBPE:
         if max(ranks.values()) + _OFF >= 0xD800:
             raise ValueError("ids must fit below the surrogates")
         self.ranks, self.pattern = ranks, pattern
-        buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
         self.pairs = merge_pairs(ranks)
+        merges = [""] * (max(ranks.values()) + 1)
         for (a, b), c in self.pairs.items():
             pair = chr(a + _OFF) + chr(b + _OFF)
-            buckets[_bucket(pair)][pair] = chr(c + _OFF)
-        self.rank_map = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+            buckets[_bucket(pair)][pair] = c
+            merges[c] = pair + chr(c + _OFF)
+        self.rank_map = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+        self.merges = F.from_json(F.lit(json.dumps(merges)), "array<string>")
         self.raw = "".join(map(chr, range(256)))
         self.first = "".join(chr(ranks[bytes([x])] + _OFF) for x in range(256))
 
@@ -120,18 +127,17 @@ class ByteBPE:
         def let(x, f):
             return F.element_at(F.transform(F.array(x), f), 1)
 
-        def with_map(ranks):
+        def with_maps(ranks, merges):
             def look(pair):
                 return F.try_element_at(F.get(ranks, F.pmod(F.xxhash64(pair), F.lit(BUCKETS)).cast("int")), pair)
 
             def step(tokens, _):
-                found = F.transform(F.sequence(F.lit(1), F.length(tokens) - 1), lambda i: look(F.substring(tokens, i, F.lit(2))))
+                pairs = F.transform(F.sequence(F.lit(1), F.length(tokens) - 1), lambda i: F.substring(tokens, i, F.lit(2)))
 
-                def merged(found):
-                    least = F.array_min(found)
-                    return let(least, lambda m: F.when(m.isNull(), F.concat(F.lit(_DONE), tokens)).otherwise(F.replace(tokens, F.substring(tokens, F.array_position(found, m).cast("int"), F.lit(2)), m)))
+                def merged(merge):
+                    return F.when(merge.isNull(), F.concat(F.lit(_DONE), tokens)).otherwise(F.replace(tokens, F.substring(merge, 1, 2), F.substring(merge, 3, 1)))
 
-                return F.when(F.startswith(tokens, F.lit(_DONE)) | (F.length(tokens) == 1), tokens).otherwise(let(found, merged))
+                return F.when(F.startswith(tokens, F.lit(_DONE)) | (F.length(tokens) == 1), tokens).otherwise(let(F.get(merges, F.array_min(F.transform(pairs, look))), merged))
 
             def encode(word):
                 raw = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), self.raw, self.first)
@@ -140,17 +146,34 @@ class ByteBPE:
 
             return F.transform(words, encode)
 
-        return let(self.rank_map, with_map)
+        return let(self.rank_map, lambda ranks: let(self.merges, lambda merges: with_maps(ranks, merges)))
 
 
 class Pieces:
     """Binary pieces by id, for decoding."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.by_id = {i: t for t, i in ranks.items()}
+        by_id = {i: t for t, i in ranks.items()}
+        self.by_id = pa.array(map(by_id.get, range(max(by_id) + 1)), pa.large_binary())
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.by_id.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes that ids stand for, cut where `ends` says that a text's ids end."""
+        found = self.by_id.take(pa.array(ids))
+        if found.null_count:
+            raise ValueError("an id without a piece")
+        places, data = _flat(found)
+        return _cut(data, places[np.r_[0, ends]])
+
+
+def _flat(binary: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """Where the rows of an array of large binary begin and end, and the bytes they lie in."""
+    _, places, data = binary.buffers()
+    return np.frombuffer(places, "<i8")[binary.offset : binary.offset + len(binary) + 1], data or pa.py_buffer(b"")
+
+
+def _cut(data: pa.Buffer, places: np.ndarray) -> pa.Array:
+    """Rows of binary that lie one after the other in `data`, from each place to the next."""
+    return pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(np.ascontiguousarray(places, "<i8")), data]).cast(pa.binary())
 
 
 def encoded(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
@@ -181,9 +204,8 @@ def encoded(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str
                 fresh = 0
             for (ids, ends, _, last), chunk in zip(held, numbered.chunks):
                 index = chunk.indices.to_numpy().astype("<i4", copy=False)
-                parts = [index[a:b].tobytes() for a, b in zip(np.r_[0, ends], ends)]
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(2 + last.astype(np.int32)), pa.array(parts, pa.binary()), pa.nulls(n, strings)], ["doc_id", "fresh", "index", "words"])
+                parts = _cut(pa.py_buffer(index), np.r_[0, ends] * 4)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(2 + last.astype(np.int32)), parts, pa.nulls(len(parts), strings)], ["doc_id", "fresh", "index", "words"])
 
         held, size = [], 0
         for b in batches:
@@ -210,48 +232,59 @@ def encoded(docs: DataFrame, bpe: ByteBPE, id_col: str = "doc_id", text_col: str
     def gather(batches):
         pieces = Pieces(ranks.value) if decode else None
 
-        def whole(tokens):
-            if not tokens.startswith(_RAW):
-                return tokens
-            return "".join(chr(x + _OFF) for x in merged([ord(x) - _OFF for x in tokens[1:]], pairs.value))
-
-        parts: list[str] = []
+        def rows_of(tokens):
+            """Token strings as ids, and how many each has."""
+            words = tokens.flatten()
+            raw = np.flatnonzero(pc.starts_with(words, _RAW).to_numpy(zero_copy_only=False))
+            if len(raw):
+                words = words.to_pylist()
+                for i in raw.tolist():
+                    words[i] = "".join(chr(x + _OFF) for x in merged([ord(x) - _OFF for x in words[i][1:]], pairs.value))
+                words = pa.array(words, pa.string())
+            text = b"".join(words.cast(pa.binary()).to_pylist()).decode()
+            return np.frombuffer(text.encode("utf-32-le"), "<u4") - np.uint32(_OFF), pc.utf8_length(words).to_numpy()
+
+        def texts(ids, states, index):
+            """Rows of what the pieces of texts come to, some TOKENS at a time."""
+            nonlocal begun
+            where = np.frombuffer(index.buffers()[1], "<i4")[index.offset : index.offset + len(index) + 1] // 4
+            words = np.frombuffer(index.buffers()[2] or b"", "<i4")[: where[-1]]
+            size = np.diff(_flat(table)[0]) // 4
+            upto = np.r_[0, np.cumsum(size[words[where[0] :]])][where - where[0]]  # tokens before each piece
+            cuts = np.flatnonzero(np.diff(upto[:-1] // TOKENS)) + 1
+            for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(index)]):
+                got = np.frombuffer(_flat(table.take(pa.array(words[where[s] : where[e]])))[1], "<u4")[: upto[e] - upto[s]]
+                ended = np.flatnonzero(states[s:e] == 3)
+                if not len(ended):
+                    begun.append(got)
+                    continue
+                ends = upto[s + 1 + ended] - upto[s] + sum(map(len, begun))
+                got = np.concatenate([*begun, got])
+                begun = [got[ends[-1] :].copy()]
+                cols = [ids.take(pa.array(s + ended)), pa.array(np.diff(np.r_[0, ends])), _cut(pa.py_buffer(got), np.r_[0, ends] * 4)]
+                if decode:
+                    cols.append(pieces.decode(got[: ends[-1]], ends))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids"] + ["decoded"] * decode)
+
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         table = None
-        names = ["doc_id", "n_tokens", "ids"] + ["decoded"] * decode
         begun: list[np.ndarray] = []  # the pieces so far of a text
         for b in batches:
-            ids, fresh = b.column("doc_id"), b.column("fresh").to_numpy()
-            is_doc = fresh >= 2
+            states = b.column("fresh").to_numpy()
+            is_doc = states >= 2
             cuts = np.flatnonzero(np.r_[True, is_doc[1:] != is_doc[:-1], True]) if b.num_rows else np.zeros(0, int)
             for s, e in zip(cuts, cuts[1:]):
                 if not is_doc[s]:
                     if table is not None:
                         parts, table = [], None
-                    for row in b.column("tokens").slice(s, e - s).to_pylist():
-                        parts += map(whole, row)
+                    parts.append(rows_of(b.column("tokens").slice(s, e - s)))
                     continue
                 if table is None:
-                    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-                    table = np.frombuffer("".join(parts).encode("utf-16-le"), "<u2") - np.uint16(_OFF), np.r_[0, ends]
+                    ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(n for _, n in parts)])) * 4
+                    table = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate([np.zeros(0, "<u4"), *(i for i, _ in parts)]))])
                     parts = []
-                all_ids, ends = table
-                n, out, text = [], [], []
-                for index, state in zip(b.column("index").slice(s, e - s).to_pylist(), fresh[s:e].tolist()):
-                    w = np.frombuffer(index, "<i4")
-                    size = ends[w + 1] - ends[w]
-                    total = int(size.sum())
-                    begun.append(all_ids[np.repeat(ends[w] - np.r_[0, np.cumsum(size)[:-1]][: len(w)], size) + np.arange(total)])
-                    if state == 2:
-                        continue
-                    got = begun[0] if len(begun) == 1 else np.concatenate(begun)
-                    begun = []
-                    n.append(len(got))
-                    out.append(got.astype("<u4").tobytes())
-                    if decode:
-                        text.append(pieces.decode(got))
-                cols = [ids.slice(s, e - s).filter(pa.array(fresh[s:e] == 3)), pa.array(n, pa.int64()), pa.array(out, pa.binary())] + [pa.array(text, pa.binary())] * decode
-                yield pa.RecordBatch.from_arrays(cols, names)
-        del parts, table
+                yield from texts(b.column("doc_id").slice(s, e - s), states[s:e], b.column("index").slice(s, e - s))
+        del parts, table, begun
         tidy()
 
     final = T.StructType([T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -265,8 +298,9 @@ def decoded(tokens: DataFrame, bpe: ByteBPE, ids_col: str = "ids") -> DataFrame:
     def fn(batches):
         pieces = Pieces(ranks.value)
         for b in batches:
-            text = [None if x is None else pieces.decode(np.frombuffer(x, "<u4")) for x in b.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.binary())], [*b.schema.names, "decoded"])
+            ids = [np.frombuffer(x or b"", "<u4") for x in b.column(ids_col).to_pylist()]
+            text = pieces.decode(np.concatenate([np.zeros(0, "<u4"), *ids]), np.cumsum([len(x) for x in ids], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pc.if_else(b.column(ids_col).is_null(), pa.scalar(None, pa.binary()), text)], [*b.schema.names, "decoded"])
 
     tokens = tokens.drop("decoded")
     return tokens.mapInArrow(fn, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -85,6 +85,33 @@ def test_small_gathers_number_words_anew(docs, monkeypatch):
     assert sorted(bytes(r.decoded) for r in got) == sorted((t or "").encode() for t in [*TEXTS, "x y", "again", "again"])
 
 
+def test_pieces_are_looked_up_many_at_a_time(docs, monkeypatch):
+    """Cuts inside texts and inside runs of texts, and no search for a pair's place in the fold."""
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "TOKENS", 40)
+    monkeypatch.setattr(bpe, "GATHER", 500)
+    b = byte_bpe()
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=b.ranks, special_tokens={})
+    df = bpe.encoded(docs, b, decode=True)
+    got = sorted((repr(r.doc_id), r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in df.collect())
+    rows = [*enumerate(TEXTS), (None, "x y"), (3, "again"), (3, "again")]
+    want = [(repr(i), np.array(enc.encode_ordinary(t or ""), "<u4"), (t or "").encode()) for i, t in rows]
+    assert got == sorted((i, len(ids), ids.tobytes(), t) for i, ids, t in want)
+    assert "array_position" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_tokens_may_be_null_or_unknown(spark):
+    b = byte_bpe()
+    ids = np.array([b.ranks[b"h"], b.ranks[b"i"]], "<u4").tobytes()
+    rows = spark.createDataFrame([(1, ids), (2, None), (3, b"")], "doc_id long, ids binary")
+    assert {r.doc_id: r.decoded and bytes(r.decoded) for r in bpe.decoded(rows, b).collect()} == {1: b"hi", 2: None, 3: b""}
+    sparse = bpe.Pieces({b"a": 0, b"b": 2})
+    assert sparse.decode(np.array([2, 0, 2], "<u4"), np.array([1, 1, 3])).to_pylist() == [b"b", b"", b"ab"]
+    with pytest.raises(ValueError):
+        sparse.decode(np.array([1], "<u4"), np.array([1]))
+
+
 def test_last_merges_rebuild_every_token():
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     pairs = bpe.merge_pairs(ranks)
